@@ -35,9 +35,9 @@ from .common import small_batches, stage
 #: Length of a repeated string, and of the hashed strings among which its trigger is.
 LENGTH = 100
 GRAM = 32
-#: Bytes of text that are parsed together, and the longest stretch of one text among them.
+#: Bytes of text whose repeats are settled together, and bytes that are hashed at a time, at most.
 BLOCK = 1 << 24
-STRETCH = 1 << 23
+STRETCH = 1 << 20
 #: Dictionary phrases of one trigger up to which their suffixes are ordered in one task; beyond, each suffix is a row of its own.
 CROWD = 512
 _POSITION = np.uint64((1 << 25) - 1)
@@ -163,7 +163,7 @@ def _parse(length: int, gram: int):
             parts: list[tuple[np.ndarray, ...]] = []
             group, size = [], 0
             for piece in [*_stretches(texts, length), None]:
-                if piece is None or size + len(piece[2]) > BLOCK:
+                if piece is None or size + len(piece[2]) > STRETCH + length:
                     if group:
                         p = Parsed([g[2] for g in group], [g[1] for g in group], length, gram)
                         parts.append((np.array([g[0] for g in group], np.int64)[p.text], p.start, p.count, p.trigger.view(np.int64), p.content.view(np.int64)))
