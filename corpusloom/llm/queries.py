@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, license_scan, packing, simhash_dedup, suffix_dedup, toxicity, url_filter
+from . import embedding_dedup, exact_dedup, language_id, license_scan, nbest_pieces, packing, simhash_dedup, suffix_dedup, toxicity, url_filter
 
-MODULES = (exact_dedup, simhash_dedup, language_id, packing, toxicity, suffix_dedup, url_filter, license_scan)
+MODULES = (exact_dedup, simhash_dedup, language_id, packing, nbest_pieces, toxicity, suffix_dedup, url_filter, embedding_dedup, license_scan)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
