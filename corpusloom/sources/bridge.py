@@ -60,3 +60,46 @@ citations AS (
          CASE l_returnflag WHEN 'R' THEN 'cross_module' WHEN 'A' THEN 'vague' ELSE 'internal' END AS target_kind
   FROM lineitem)
 """
+
+
+def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One bill per order: file_no, sponsor, status text, introduced (ISO date), priority."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("sponsor"))
+    state, priority = F.col("o_orderstatus"), F.left("o_orderpriority", F.lit(1))
+    text = (
+        F.when((state == "F") & (priority == "1"), "Signed by Mayor").when((state == "F") & (priority == "2"), "Vetoed by Mayor").when((state == "F") & (priority == "3"), "Tabled").when(state == "F", "Withdrawn")
+        .when((state == "P") & (priority == "1"), "Awaiting Mayor's signature").when((state == "P") & (priority == "2"), "Second Reading").when(state == "P", "Passed Committee")
+        .when(priority == "1", "Pending Committee Hearing").when(priority == "2", "Introduced").otherwise("Unscheduled")
+    )
+    return o.join(c, "o_custkey").select(F.col("o_orderkey").alias("file_no"), "sponsor", text.alias("status_text"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("introduced"))
+
+
+BILLS_SQL = """
+bills AS (
+  SELECT o_orderkey AS file_no, c_name AS sponsor, CASE
+    WHEN o_orderstatus = 'F' THEN CASE left(o_orderpriority, 1) WHEN '1' THEN 'Signed by Mayor' WHEN '2' THEN 'Vetoed by Mayor' WHEN '3' THEN 'Tabled' ELSE 'Withdrawn' END
+    WHEN o_orderstatus = 'P' THEN CASE left(o_orderpriority, 1) WHEN '1' THEN 'Awaiting Mayor''s signature' WHEN '2' THEN 'Second Reading' ELSE 'Passed Committee' END
+    ELSE CASE left(o_orderpriority, 1) WHEN '1' THEN 'Pending Committee Hearing' WHEN '2' THEN 'Introduced' ELSE 'Unscheduled' END END AS status_text,
+    strftime(o_orderdate, '%Y-%m-%d') AS introduced
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+states AS (SELECT *, CASE status_text WHEN 'Signed by Mayor' THEN 'enacted' WHEN 'Vetoed by Mayor' THEN 'vetoed' WHEN 'Tabled' THEN 'failed' WHEN 'Withdrawn' THEN 'withdrawn'
+    WHEN 'Awaiting Mayor''s signature' THEN 'enrolled' WHEN 'Second Reading' THEN 'floor' WHEN 'Passed Committee' THEN 'engrossed' WHEN 'Pending Committee Hearing' THEN 'committee' ELSE 'filed' END AS status FROM bills)
+"""
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section outcomes: one per line item; file_no, section_id, position, status, words changed."""
+    li = table(spark, sf_dir, "lineitem")
+    status = F.when(F.col("l_returnflag") == "A", "anchored").when(F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "F", "no_changes").otherwise("added_section")).otherwise(F.when(F.col("l_linenumber") % 3 == 0, "no_baseline").when(F.col("l_linenumber") % 3 == 1, "absorbed_external").otherwise("unresolved"))
+    return li.select(F.col("l_orderkey").alias("file_no"), F.col("l_partkey").alias("section_id"), F.col("l_linenumber").cast("int").alias("position"), status.alias("status"), F.col("l_quantity").cast("long").alias("n_words"))
+
+
+OUTCOMES_SQL = """
+outcomes AS (
+  SELECT l_orderkey AS file_no, l_partkey AS section_id, CAST(l_linenumber AS INTEGER) AS position,
+    CASE l_returnflag WHEN 'A' THEN 'anchored' WHEN 'R' THEN CASE l_linestatus WHEN 'F' THEN 'no_changes' ELSE 'added_section' END
+      ELSE CASE l_linenumber % 3 WHEN 0 THEN 'no_baseline' WHEN 1 THEN 'absorbed_external' ELSE 'unresolved' END END AS status,
+    CAST(l_quantity AS BIGINT) AS n_words
+  FROM lineitem)
+"""
