@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import aggregates, joins, ordered, search, texts
+from corpusloom.plans import aggregates, joins, markup, ordered, search, texts
 
-MODULES = (search, joins, aggregates, ordered, texts)
+MODULES = (search, joins, aggregates, ordered, texts, markup)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
 FLAGSHIP = QUERIES["search_sections"]
