@@ -75,6 +75,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = F.max(F.struct("n_points", F.expr("~doc_id").alias("inverse")))
     groups = rows.groupBy("h", "recipe").agg(F.count("*").alias("n"), best.alias("best")).where("n > 1")
     groups = groups.select("h", "recipe", F.col("n").alias("group_n"), F.expr("~best.inverse").alias("best_id"))
+    groups = stage(groups, "groups")  # so that both sides of the join are plain exchanges, which Spark can split where a key is hot
     joined = rows.join(groups, ["h", "recipe"], "left")
     keep = F.when(F.col("group_n").isNull(), F.col("doc_id")).otherwise(F.col("best_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
