@@ -172,8 +172,7 @@ def links_within(distinct: DataFrame, max_distance: int = 2) -> DataFrame:
         flips = [_signed(sum(1 << b for b in flip)) for r in range(1, t + 1) for flip in combinations(bits, r)]
         rows = F.array(F.struct(F.lit(i).alias("part"), value.alias("v"), F.lit(False).alias("probe")))
         if flips:
-            around = F.transform(F.array(*map(F.lit, flips)), lambda x, i=i, value=value: F.struct(F.lit(i).alias("part"), value.bitwiseXOR(x).alias("v"), F.lit(True).alias("probe")))
-            rows = F.concat(rows, around)
+            rows = F.concat(rows, F.array(*[F.struct(F.lit(i).alias("part"), value.bitwiseXOR(F.lit(x)).alias("v"), F.lit(True).alias("probe")) for x in flips]))
         entries.append(rows)
     entered = distinct.select("fp", F.explode(F.concat(*entries)).alias("e")).select("fp", "e.*")
     buckets = entered.groupBy("part", "v").agg(F.count("*").alias("size"), F.sum(F.when(F.col("probe"), 0).otherwise(1)).alias("own")).where("size > 1 and own > 0")
