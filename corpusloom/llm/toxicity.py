@@ -22,8 +22,10 @@ from .common import crc_fold, small_batches, utf8
 #: Bytes of the n-grams, hash buckets, labelled rows in the sample at most, features kept.
 GRAMS = (4, 6)
 BUCKETS = 1 << 20
-SAMPLE = 8_000
+SAMPLE = 16_000
 FEATURES = 4_096
+#: A feature's count must stray from chance by so much (one in two thousand or so); so many are kept anyhow.
+STRAY, FEATURES_AT_LEAST = 12.0, 64
 THRESHOLD = 0.3
 
 _LETTERS = bytes(b"abcdefghijklmnopqrstuvwxyz"[c - 65] if 65 <= c < 91 else c if 97 <= c < 123 or c >= 128 else 32 for c in range(256))
@@ -104,9 +106,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n0 or not n1:
         return Model(weight, float(np.log((n1 + 0.5) / (n0 + 0.5))))
     p, q = (F.col("positive") + 0.5) / (n1 + 1.0), (F.col("negative") + 0.5) / (n0 + 1.0)
-    # How much a feature's presence tells: the part of a likelihood ratio that it explains.
-    gain = F.abs(F.col("positive") * F.log(p / (p + q)) - F.col("positive") * F.log(F.lit(0.5)) + n1 / n0 * (F.col("negative") * F.log(q / (p + q)) - F.col("negative") * F.log(F.lit(0.5))))
-    best = counts.select("bucket", F.log(p / q).alias("ratio"), gain.alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "bucket").limit(FEATURES).collect()
+    # How far the counts stray from chance (the likelihood-ratio statistic of presence against label).
+    share = (F.col("positive") + F.col("negative")) / (n0 + n1)
+    cells = [(F.col("positive"), n1 * share), (F.col("negative"), n0 * share), (n1 - F.col("positive"), n1 * (1 - share)), (n0 - F.col("negative"), n0 * (1 - share))]
+    stray = 2 * sum((F.when(seen > 0, seen * F.log(seen / chance)).otherwise(0.0) for seen, chance in cells), F.lit(0.0))
+    best = counts.select("bucket", F.log(p / q).alias("ratio"), stray.alias("stray")).orderBy(F.desc("stray"), "bucket").limit(FEATURES).collect()
+    best = [r for k, r in enumerate(best) if r["stray"] >= STRAY or k < FEATURES_AT_LEAST]
     number = np.full(BUCKETS, -1, np.int32)
     number[[r["bucket"] for r in best]] = np.arange(len(best))
     ratio = np.array([r["ratio"] for r in best])
