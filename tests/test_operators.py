@@ -125,3 +125,48 @@ def test_stream_ingest(spark, sf_dir, tmp_path):
     ingest.ingest(stream, out, str(tmp_path / "state"), ["event_id"]).awaitTermination(60)
     assert spark.read.parquet(out).count() == source.select("event_id").distinct().count()
     assert ingest.action_counts(source).agg(F.sum("n")).first()[0] == source.count()
+
+
+def test_redline_glyphs_and_text():
+    from corpusloom.operators import redline
+
+    marks = [(0.0, 30.0, "delete"), (30.0, 60.0, "insert")]
+    assert redline.glyph_kinds("(3)(2)", 0.0, 60.0, marks) == [("(3)", "delete"), ("(2)", "insert")]
+    assert redline.glyph_kinds("ab", 0.0, 20.0, []) == [("ab", "ambiguous")]
+    assert redline.glyph_kinds("ab", 0.0, 20.0, [(0.0, 20.0, "delete"), (0.0, 20.0, "insert")]) == [("ab", "ambiguous")]
+    baseline = "Alpha beta gamma. Middle part stays. Omega end."
+    spans = [("context", "Alpha", ""), ("delete", "beta", ""), ("insert", "new", " "), ("context", "gamma.", " "), ("elision", "* * *", ""), ("context", "Omega", ""), ("context", "end.", " ")]
+    assert redline.new_text(spans, baseline) == "Alpha new gamma. Middle part stays. Omega end."
+
+
+def test_phrases_take_the_nearest_free_reference():
+    from corpusloom.operators import spans
+
+    text = "Section 102 of the Building Code and Section 50"
+    phrase = (text.index("Building"), text.index(" and"), "building")
+    cites = [(0, 11), (text.index("Section 50"), len(text))]
+    assert spans.assign(text, [phrase], cites) == {0: "building"}
+    assert spans.assign("See Section 1. It ends. The Fire Code says", [(28, 37, "fire")], [(4, 13)]) == {}
+    assert spans.assign("Fire Code § 21", [(0, 9, "fire")], [(10, 14)]) == {0: "fire"}
+
+
+def test_extents_of_capitalised_names():
+    from corpusloom.operators import spans
+
+    text = "The Board of the City and County. City Planning Code"
+    at = text.index("City and")
+    assert text[slice(*spans.extent(text, at, at + 4))] == "Board of the City"
+    at = text.index("Planning")
+    assert not spans.standing_alone(text, at, at + 8, {"Planning"})
+    assert spans.standing_alone(text, at, at + 8, {"City Planning Code"})
+
+
+def test_arbitration(spark):
+    from corpusloom.operators import spans
+
+    rows = [[(0, 5, "defined_term"), (3, 9, "citation"), (4, 6, "defined_term"), (9, 12, "defined_term"), (10, 11, "paragraph_break"), (11, 14, "subsection_label")]]
+    df = spark.createDataFrame([(r,) for r in rows], f"s array<{spans.SPAN}>")
+    got = [tuple(x) for x in df.select(spans.arbitrated(F.col("s")).alias("s")).first()["s"]]
+    assert got == [(3, 9, "citation"), (9, 12, "defined_term"), (11, 14, "subsection_label")]
+    kept = [tuple(x)[:2] for x in df.select(spans.without_overlaps(F.col("s")).alias("s")).first()["s"]]
+    assert kept == [(0, 5), (9, 12)]
