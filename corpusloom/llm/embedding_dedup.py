@@ -80,7 +80,7 @@ class Graph:
         have = old[touched]
         src = np.r_[a, b, np.repeat(touched, width)[have.ravel() >= 0]]
         dst = np.r_[b, a, have.ravel()[have.ravel() >= 0]]
-        src, dst = np.unique(np.stack([src, dst]).astype(np.int64), axis=1) if len(src) else (src, dst)
+        src, dst = np.divmod(np.unique(src.astype(np.int64) * len(self.v) + dst), len(self.v))
         near = np.einsum("kd,kd->k", self.v[src], self.v[dst])
         order = np.lexsort((-near, src))
         src, dst = src[order], dst[order]
@@ -173,10 +173,11 @@ def links_between(queries: np.ndarray, graph: Graph, limit: float, near: float =
             r, c = np.nonzero(sims >= limit - near)
             hit[some[r], ids[r, c]] = True
             full[some] = (sims >= limit - near).sum(axis=1) > beam // 2  # more may lie beyond the beam
-        want = truth.sum()
-        passed = not want or (hit[sample] & truth).sum() >= RECALL * want
-        rest = rest[full[rest]] if passed else np.arange(q)
-        beam *= 2
+        asked = np.isin(sample, rest) & ~full[sample]  # the others get a wider beam anyhow
+        want = truth[asked].sum()
+        passed = (hit[sample[asked]] & truth[asked]).sum() >= RECALL * want
+        rest = rest[full[rest]] if passed else rest
+        beam *= 4
     return hit
 
 
