@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import aggregates, api, bills, joins, markup, ordered, search, streams, texts
+from corpusloom.plans import aggregates, api, bills, headings, joins, markup, ordered, search, streams, texts
 
-MODULES = (search, joins, aggregates, ordered, texts, markup, api, streams, bills)
+MODULES = (search, joins, aggregates, ordered, texts, markup, api, streams, bills, headings)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
 FLAGSHIP = QUERIES["search_sections"]

@@ -170,3 +170,46 @@ def test_arbitration(spark):
     assert got == [(3, 9, "citation"), (9, 12, "defined_term"), (11, 14, "subsection_label")]
     kept = [tuple(x)[:2] for x in df.select(spans.without_overlaps(F.col("s")).alias("s")).first()["s"]]
     assert kept == [(0, 5), (9, 12)]
+
+
+def test_grids(spark):
+    from corpusloom.operators import grids
+
+    head = "<thead><tr><th>File&nbsp;#</th><th>Type</th><th>Status</th><th>Title</th></tr></thead>"
+    row = '<tr><td><a href="Detail.aspx?ID=12&GUID=AB">250001</a></td><td>Ordinance</td><td>Pending</td><td>A  title</td></tr>'
+    page = f'<table class="rgMasterTable">{head}<tbody>{row}<tr><td colspan=4>x</td></tr></tbody></table>'
+    pages = spark.createDataFrame([(1, page), (2, "<p>none</p>"), (3, None)], "page_id long, html string")
+    got = {r["page_id"]: r for r in grids.grid_rows(pages).collect()}
+    assert (got[1]["file_no"], got[1]["short_title"], got[1]["problem"]) == ("250001", "A title", None)
+    assert got[2]["problem"] == got[3]["problem"] == "no grid"
+    one = spark.range(1).select(
+        grids.url_parameter(F.lit("x?ID=12&GUID=AB"), "guid"), grids.us_date(F.lit("9/5/2023")), grids.us_date(F.lit("soon")), grids.sponsor(F.lit(" - ")), grids.absolute_url(F.lit("/a"), "https://e.org/"),
+        grids.next_page(F.lit("<a class=\"rgCurrentPage\"><span>2</span></a><a href=\"javascript:__doPostBack('g','Page$1')\"></a><a href=\"javascript:__doPostBack('g','Page$3')\"></a>")),
+    ).first()
+    assert tuple(one) == ("AB", "2023-09-05", None, None, "https://e.org/a", "Page$3")
+    files = spark.createDataFrame([([("Leg Ver 1", "a"), ("Leg Ver 3", "b"), ("Leg Ver 3", "c")],), ([("Leg Digest", "d"), ("Memo", "e")],)], "f array<struct<name:string,url:string>>")
+    assert [r[0]["url"] for r in files.select(grids.latest_version(F.col("f"))).collect()] == ["b", "d"]
+
+
+def test_titles_and_slices(spark):
+    from corpusloom.operators import headings
+
+    assert headings.title_case("CITY-OPERATED FARMERS' MARKETS [REPEALED.]") == "City-Operated Farmers' Markets [Repealed.]"
+    assert headings.title_case("TENANT RIGHTS UNDER SECTION 37.9(a)") == "Tenant Rights Under Section 37.9(a)"
+    anchors = spark.createDataFrame([(1, "JD_A", 0), (1, "JD_B", 50), (1, "JD_C", 70), (1, "JD_C", 80)], "doc int, name string, offset int")
+    wanted = spark.createDataFrame([("JD_A", "a"), ("JD_B", "b"), ("JD_C", "c"), ("JD_X", "x")], "name string, module_id string")
+    got = {r["module_id"]: (r["begin"], r["end"], r["reason"]) for r in headings.module_slices(anchors, wanted).collect()}
+    assert got == {"a": (0, 50, None), "b": (50, None, None), "c": (None, None, "repeated"), "x": (None, None, "missing")}
+    sections = spark.createDataFrame([("m", "1", "old"), ("m", "2", "two")], "module_id string, id string, redirect_to string")
+    renamed = spark.createDataFrame([("m", "old", "p.old"), ("m", "two", "p.two"), ("m", "two", "q.two")], "module_id string, old_id string, new_id string")
+    assert {r["id"]: r["redirect_to"] for r in headings.redirects(sections, renamed).collect()} == {"1": "p.old", "2": "two"}
+
+
+def test_verdicts(spark):
+    from corpusloom.operators import answers
+
+    rows = [(0, True, 0, 0, 0), (1, False, 1, 1, 1), (1, True, 0, 1, 1), (1, True, 0, 0, 1), (1, True, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "a int, b boolean, c int, d int, e int")
+    v = answers.verdict(*(F.col(c) for c in "abcde"))
+    assert [r[0] for r in df.select(v).collect()] == ["no_citations", "block_missing", "not_fetched", "claim_unsupported", "valid"]
+    assert [r[0] != "" for r in df.select(answers.message(v)).collect()] == [True, True, True, True, False]
