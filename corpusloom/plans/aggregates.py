@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import natural_key, natural_key_sql
+from corpusloom.operators import ordering
 from corpusloom.operators import outcomes as O
 from corpusloom.plans.registry import Registry
 from corpusloom.sources import bridge
@@ -126,11 +127,7 @@ def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE rn = least(CAST(floor(n * 0.95) AS BIGINT), n - 1) + 1""")
 def p95_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value at index floor(0.95 n) of each kind, counting from 0 (no interpolation)."""
-    e = table(spark, sf_dir, "events").select("event_type", "value")
-    n = e.groupBy("event_type").agg(F.count("*").alias("n"))
-    sizes = e.groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    run = sizes.withColumn("upto", F.expr("sum(c) over (partition by event_type order by value)")).join(n, "event_type")
-    return run.where("upto > least(cast(floor(n * 0.95) as bigint), n - 1)").groupBy("event_type").agg(F.min("value").alias("p95"))
+    return ordering.value_at(table(spark, sf_dir, "events"), "event_type", "value", 0.95, name="p95")
 
 
 @query(f"""WITH {BILLS_SQL} SELECT status, status IN ('filed', 'committee', 'engrossed', 'floor', 'enrolled') AS pending, count(*) AS n, max(introduced) AS newest FROM states GROUP BY 1""")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import natural_key, natural_key_sql
+from corpusloom.functions.text import PAD, natural_key, natural_key_sql
+from corpusloom.operators import ordering
 from corpusloom.operators import outcomes as O
 from corpusloom.operators.references import first_seen
 from corpusloom.plans.registry import Registry
@@ -21,8 +22,8 @@ LISTED = 50
 @query(f"""WITH {SECTIONS_SQL} SELECT module_id, section_id, lag(section_id) OVER w AS previous, lead(section_id) OVER w AS following FROM sections WINDOW w AS (PARTITION BY module_id ORDER BY {natural_key_sql("section_id")}, section_id)""")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sections before and after each, in natural order within its module."""
-    w = Window.partitionBy("module_id").orderBy(natural_key(F.col("section_id")), "section_id")
-    return bridge.sections(spark, sf_dir).select("module_id", "section_id", F.lag("section_id").over(w).alias("previous"), F.lead("section_id").over(w).alias("following"))
+    s = bridge.sections(spark, sf_dir).select("module_id", "section_id")
+    return ordering.neighbours(s, "module_id", natural_key(F.col("section_id")), "section_id", PAD)
 
 
 @query(f"""WITH {SECTIONS_SQL}, p AS (SELECT module_id, section_id, unnest([module_id, module_id || '/' || chapter, module_id || '/' || chapter || '/' || article_id]) AS prefix FROM sections)
@@ -120,8 +121,8 @@ def palette_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SECTIONS_SQL} SELECT module_id, section_id, row_number() OVER (PARTITION BY module_id ORDER BY {natural_key_sql("section_id")}, section_id) AS place FROM sections""")
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of sections in natural order."""
-    w = Window.partitionBy("module_id").orderBy(natural_key(F.col("section_id")), "section_id")
-    return bridge.sections(spark, sf_dir).select("module_id", "section_id", F.row_number().over(w).cast("long").alias("place"))
+    s = bridge.sections(spark, sf_dir).select("module_id", "section_id")
+    return ordering.places(s, "module_id", natural_key(F.col("section_id")), "section_id", PAD)
 
 
 @query("""SELECT k FROM (SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer) EXCEPT SELECT user_id FROM events""")
