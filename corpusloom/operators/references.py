@@ -62,18 +62,27 @@ def in_scope(kind: Column, prefix: Column, hierarchy: Column) -> Column:
     return F.when(kind == "module", True).when(kind == "hierarchy", F.slice(hierarchy, 1, F.greatest(F.size(prefix), F.lit(1))) == prefix).otherwise(False)
 
 
+def prefixes(hierarchy: Column) -> Column:
+    """All prefixes of a hierarchy, from its first level to the whole."""
+    whole = F.when(F.size(hierarchy) > 0, F.sequence(F.lit(1), F.size(hierarchy))).otherwise(F.array().cast("array<int>"))
+    return F.transform(whole, lambda n: F.slice(hierarchy, 1, n))
+
+
 def resolve_definitions(occurrences: DataFrame, definitions: DataFrame) -> DataFrame:
     """The definition that holds at each occurrence, and how many others were in scope.
 
     ``occurrences``: occ_id, term, hierarchy; ``definitions``: def_id, term, scope_kind,
     scope_prefix, defined_in. A hierarchy scope beats a module scope, a longer prefix a shorter
     one, then the smaller defined_in. Occurrences without a definition in scope are left out.
+    The prefix test is an equality join: an occurrence meets a definition on one of its prefixes,
+    or on the empty one for a whole module.
     """
-    found = occurrences.join(definitions, "term").where(in_scope(F.col("scope_kind"), F.col("scope_prefix"), F.col("hierarchy")))
-    w = Window.partitionBy("occ_id")
-    order = [F.when(F.col("scope_kind") == "hierarchy", 0).otherwise(1), F.size("scope_prefix").desc(), "defined_in", "def_id"]
-    ranked = found.withColumns({"_place": F.row_number().over(w.orderBy(*order)), "n_in_scope": F.count("*").over(w)})
-    return ranked.where("_place = 1").select("occ_id", "term", "def_id", "scope_kind", (F.col("n_in_scope") - 1).alias("n_dropped"))
+    empty = F.array().cast("array<string>")
+    places = occurrences.select("occ_id", "term", F.explode(F.concat(F.array(empty), prefixes(F.col("hierarchy")))).alias("scope"))
+    scoped = definitions.where(F.col("scope_kind").isin("module", "hierarchy")).withColumn("scope", F.when(F.col("scope_kind") == "module", empty).otherwise(F.col("scope_prefix")))
+    found = places.join(scoped.where("scope_kind = 'module' or size(scope) > 0"), ["term", "scope"])
+    best = F.min_by(F.struct("def_id", "scope_kind"), F.struct(F.when(F.col("scope_kind") == "hierarchy", 0).otherwise(1), -F.size("scope"), "defined_in", "def_id"))
+    return found.groupBy("occ_id", "term").agg(best.alias("best"), (F.count("*") - 1).alias("n_dropped")).select("occ_id", "term", "best.def_id", "best.scope_kind", "n_dropped")
 
 
 def disambiguate(citing: DataFrame, family: DataFrame) -> DataFrame:
@@ -81,12 +90,13 @@ def disambiguate(citing: DataFrame, family: DataFrame) -> DataFrame:
 
     ``citing``: cite_id, family_key, hierarchy; ``family``: family_key, member_id, member_hierarchy.
     At the greatest depth there must be one member, else the reference is ambiguous (null).
+    Members of one place are counted first, so a reference meets one row per depth.
     """
-    met = citing.join(family, "family_key").withColumn("depth", F.size("member_hierarchy"))
-    met = met.where((F.col("depth") >= 1) & (F.slice("hierarchy", 1, F.greatest(F.col("depth"), F.lit(1))) == F.col("member_hierarchy")))
-    deepest = met.groupBy("cite_id").agg(F.max("depth").alias("depth"))
-    picked = met.join(deepest, ["cite_id", "depth"]).groupBy("cite_id").agg(F.count("*").alias("n"), F.max("member_id").alias("member_id"))
-    return citing.select("cite_id").join(picked.where("n = 1").select("cite_id", "member_id"), "cite_id", "left")
+    members = family.where("size(member_hierarchy) > 0").groupBy("family_key", F.col("member_hierarchy").alias("scope")).agg(F.count("*").alias("n"), F.max("member_id").alias("member_id"))
+    places = citing.select("cite_id", "family_key", F.explode(prefixes(F.col("hierarchy"))).alias("scope"))
+    deepest = places.join(members, ["family_key", "scope"]).groupBy("cite_id").agg(F.max_by(F.struct("n", "member_id"), F.size("scope")).alias("top"))
+    picked = deepest.where("top.n = 1").select("cite_id", "top.member_id")
+    return citing.select("cite_id").join(picked, "cite_id", "left")
 
 
 def spans_in_ranges(spans: DataFrame, ranges: DataFrame, width: int = 4096) -> DataFrame:
