@@ -91,6 +91,7 @@ def section_title(heading: Column, label: Column) -> Column:
     return F.regexp_replace(F.trim(own), r"\.$", "")
 
 
+#: Fixed value: a word of a title, with dots inside.
 _WORD = re.compile(r"[^\W\d_](?:(?:[^\W\d_]|\.)*[^\W\d_])?\.?")
 _KNOWN = {a.upper(): a for a in ACRONYMS}
 

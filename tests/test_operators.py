@@ -213,3 +213,24 @@ def test_verdicts(spark):
     v = answers.verdict(*(F.col(c) for c in "abcde"))
     assert [r[0] for r in df.select(v).collect()] == ["no_citations", "block_missing", "not_fetched", "claim_unsupported", "valid"]
     assert [r[0] != "" for r in df.select(answers.message(v)).collect()] == [True, True, True, True, False]
+
+
+def test_order_inside_a_large_group(spark):
+    from corpusloom.operators import ordering
+
+    rows = spark.createDataFrame([("m", f"{k % 7}.{k}") for k in range(60)] + [("n", "1.1")], "g string, id string")
+    ids = sorted((f"{k % 7}.{k}" for k in range(60)), key=lambda x: tuple(map(int, x.split("."))))
+    key = natural_key(F.col("id"))
+    got = {(r["g"], r["id"]): (r["previous"], r["following"]) for r in ordering.neighbours(rows, "g", key, "id", 12).collect()}
+    assert got == {**{("m", x): (a, b) for a, x, b in zip([None, *ids], ids, [*ids[1:], None])}, ("n", "1.1"): (None, None)}
+    assert {r["id"]: r["place"] for r in ordering.places(rows.where("g = 'm'"), "g", key, "id", 12).collect()} == {x: k for k, x in enumerate(ids, 1)}
+    values = spark.createDataFrame([("a", float(v)) for v in [5, 1, 1, 9, 3, 100]] + [("b", 2.0), ("c", None)], "g string, v double")
+    assert {r["g"]: r["value"] for r in ordering.value_at(values, "g", "v", 0.5).collect()} == {"a": 5.0, "b": 2.0}
+
+
+def test_scopes(spark):
+    occurrences = spark.createDataFrame([(1, "t", ["a", "b"]), (2, "t", []), (3, "u", ["a"])], "occ_id int, term string, hierarchy array<string>")
+    rows = [("m", "t", "module", None, "1"), ("h1", "t", "hierarchy", ["a"], "2"), ("h2", "t", "hierarchy", ["a", "b"], "3"), ("x", "t", "cross_module", None, "0"), ("e", "t", "hierarchy", [], "0")]
+    definitions = spark.createDataFrame(rows, "def_id string, term string, scope_kind string, scope_prefix array<string>, defined_in string")
+    got = {r["occ_id"]: (r["def_id"], r["n_dropped"]) for r in references.resolve_definitions(occurrences, definitions).collect()}
+    assert got == {1: ("h2", 2), 2: ("m", 0)}
