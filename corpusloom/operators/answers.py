@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.extract import BILL, QUALIFIED
@@ -61,3 +61,16 @@ def message(verdict: Column) -> Column:
     for name, text in MESSAGES:
         out = out.when(verdict == name, text)
     return out
+
+
+def harvested(calls: DataFrame) -> DataFrame:
+    """What a turn's calls fetched: turn_id, kind (bill or section), module_id, key, fetched.
+
+    ``calls``: turn_id, path, ok. A bill counts as fetched from any path below it, a section from
+    its own; a failed call leaves what it asked for as probed only. Each thing stands once.
+    """
+    bill = F.nullif(F.regexp_extract("path", r"^/?bills/([0-9]+)(?:/|$)", 1), F.lit(""))
+    pattern = r"^/?modules/([^/]+)/sections/([^/]+)(?:/|$)"
+    module, section = F.nullif(F.regexp_extract("path", pattern, 1), F.lit("")), F.nullif(F.lower(F.regexp_extract("path", pattern, 2)), F.lit(""))
+    asked = calls.select("turn_id", F.when(bill.isNotNull(), "bill").when(section.isNotNull(), "section").alias("kind"), module.alias("module_id"), F.coalesce(bill, section).alias("key"), "ok")
+    return asked.where("kind is not null").groupBy("turn_id", "kind", "module_id", "key").agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("fetched"))

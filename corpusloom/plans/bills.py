@@ -111,3 +111,13 @@ def subsection_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels at the starts of lines, of texts that are put in two subsections."""
     text = F.concat(F.lit("(a) Text "), F.translate(F.left("text", F.lit(20)), "\n()", "   "), F.lit("\n(b)(1) Next (c) Not one"))
     return table(spark, sf_dir, "documents").select("doc_id", S.labels(text).alias("l")).select("doc_id", F.size("l").alias("n_labels"), F.array_join("l", "|").alias("labels"))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(string_split(text || chr(10) || '7' || chr(10) || 'Page 3 of 9' || chr(10) || 'end', chr(10))) AS raw, generate_subscripts(string_split(text || chr(10) || '7' || chr(10) || 'Page 3 of 9' || chr(10) || 'end', chr(10)), 1) - 1 AS line FROM documents),
+g AS (SELECT *, length(raw) + 1 AS n, regexp_matches(raw, '^ *([1-9]|1[0-9]|2[0-5]) *$') OR raw = 'Page 3 of 9' AS gone FROM t)
+SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS old_start, CASE WHEN NOT gone THEN CAST(coalesce(sum(CASE WHEN gone THEN 0 ELSE n END) OVER w, 0) AS BIGINT) END AS new_start
+FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def chrome_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets of lines before and after page numbers and feet are taken out."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n7\nPage 3 of 9\nend")).alias("text"))
+    return R.chrome_offsets(d)

@@ -234,3 +234,25 @@ def test_scopes(spark):
     definitions = spark.createDataFrame(rows, "def_id string, term string, scope_kind string, scope_prefix array<string>, defined_in string")
     got = {r["occ_id"]: (r["def_id"], r["n_dropped"]) for r in references.resolve_definitions(occurrences, definitions).collect()}
     assert got == {1: ("h2", 2), 2: ("m", 0)}
+
+
+def test_nested_formats(spark):
+    from corpusloom.operators import spans
+
+    def flat(nodes):
+        return "".join(n["text"] if "text" in n else flat(n["children"]) for n in nodes)
+
+    tree = spans.nest("one two three", [(0, 13, "list"), (4, 7, "bold"), (5, 6, "italic")])
+    assert tree == [{"style": "list", "children": [{"text": "one "}, {"style": "bold", "children": [{"text": "t"}, {"style": "italic", "children": [{"text": "w"}]}, {"text": "o"}]}, {"text": " three"}]}]
+    for formats in ([], [(0, 2, "bold"), (2, 4, "bold")], [(1, 5, "bold"), (3, 8, "italic")], [(9, 99, "bold")]):
+        assert flat(spans.nest("one two three", formats)) == "one two three"
+    df = spark.createDataFrame([("ab", [(0, 1, "bold")]), (None, None)], "t string, f array<struct<start:int,end:int,format:string>>")
+    assert [r[0] for r in df.select(spans.nested_json(F.col("t"), F.col("f"))).collect()] == ['[{"style": "bold", "children": [{"text": "a"}]}, {"text": "b"}]', "[]"]
+
+
+def test_harvest(spark):
+    from corpusloom.operators import answers
+
+    calls = [(1, "/bills/25/impact", True), (1, "bills/25", False), (1, "/modules/m/sections/1.A", False), (1, "/modules/m", True), (2, None, True)]
+    got = answers.harvested(spark.createDataFrame(calls, "turn_id int, path string, ok boolean")).collect()
+    assert {(r["turn_id"], r["kind"], r["module_id"], r["key"], r["fetched"]) for r in got} == {(1, "bill", None, "25", True), (1, "section", "m", "1.a", False)}
