@@ -3,8 +3,10 @@
 A forward Viterbi pass gives every place of a piece lattice the best score of the way to it. A
 backward A-star search from the end takes these scores as its heuristic; as they are exact, the
 first N hypotheses that reach the start are the N best, in order. No piece of the vocabulary
-runs from other characters into a word mark, so a text's lattice is a chain of word lattices:
-words are searched once and remembered, and the text's N best are chosen among the words'.
+runs from other characters into a word mark, or joins a letter and a sign (both are checked when
+it is read; a vocabulary with such pieces is searched in longer parts), so a text's lattice is a
+chain of word lattices: words are searched once and remembered, and the text's N best are chosen
+among the words'.
 Only the N - 1 words whose second best costs least can differ from their best there, for each
 of them alone already gives a hypothesis that is no worse than one that differs elsewhere.
 """
@@ -63,9 +65,16 @@ class Pieces:
         # A character without a piece is one edge, below all pieces, that stands for its bytes.
         self.unknown = min(usual, default=0.0) - 10
         inside = any(MARK in p.lstrip(MARK) for p in self.table)
-        self.word = re.compile("(?s:.+)" if inside else f"{MARK}*[^{MARK}]+|{MARK}+")
+        # Word characters that are neither letters nor digits, such as superscripts, go with the signs' neighbours uncut.
+        odd = "".join(sorted({c for p in self.table for c in p if c.isalnum() and not c.isalpha()}))
+        letter, sign = rf"[^\W\d_{re.escape(odd)}]", rf"[^\w{MARK}]"
+        across = any(re.search(f"{letter}{sign}|{sign}{letter}", p) for p in self.table)
+        # Letters with no word character after them, signs before a letter, a mark or the end, and else all up to the next mark.
+        apart = "" if across else rf"{MARK}*{letter}+(?!\w)|{MARK}*{sign}+(?={letter}|{MARK}|\Z)|"
+        self.word = re.compile("(?s:.+)" if inside else f"{apart}{MARK}*[^{MARK}]+|{MARK}+")
         self.known: dict[str, tuple[float, bytes, float]] = {}
         self.older: dict[str, tuple[float, bytes, float]] = {}
+        self.lists: dict[str, list[tuple[float, bytes]]] = {}
 
     def nbest(self, text: str, n: int) -> tuple[list[tuple[float, tuple[int, ...]]], float]:
         """The n best segmentations of a marked text, best first (of equal ones the smaller ids, read from the end), and the next one's score."""
@@ -116,6 +125,17 @@ class Pieces:
             self.known[w] = found
         return found
 
+    def _several(self, w: str) -> list[tuple[float, bytes]]:
+        """The N best of a word; the words whose second best costs least come again and again."""
+        found = self.lists.get(w)
+        if found is None:
+            found = [(s, array("I", ids).tobytes()) for s, ids in self.nbest(w, self.n)[0]]
+            if len(w) <= SHORT:
+                if len(self.lists) > REMEMBERED // 10:
+                    self.lists.clear()
+                self.lists[w] = found
+        return found
+
     def encode(self, text: str | None) -> list[tuple[float, bytes, bool]]:
         """(score, little-endian 32-bit ids, decodes to the text) of the N best segmentations of a text, best first."""
         if not text:
@@ -130,7 +150,7 @@ class Pieces:
             limit = np.partition(gaps[several], self.n - 2)[self.n - 2] if self.n > 1 else -np.inf
             several = several[gaps[several] <= limit]
         chosen = np.sort(several[np.argsort(gaps[several], kind="stable")[: self.n - 1]]).tolist()
-        others = {k: [(s, array("I", ids).tobytes()) for s, ids in self.nbest(words[k], self.n)[0]] for k in chosen}
+        others = {k: self._several(words[k]) for k in chosen}
         ways: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         for k in chosen:
             ways = heapq.nsmallest(self.n, [(loss + scores[k] - s, (*picks, c)) for loss, picks in ways for c, (s, _) in enumerate(others[k])])
@@ -176,7 +196,8 @@ def nbest_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pd.Series(out, dtype=object)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("all"))
-    return rows.select("doc_id", F.explode("all").alias("s")).select("doc_id", "s.*")
+    # No list is empty; an inner explode would have its lists computed a second time, for a filter on their size.
+    return rows.select("doc_id", F.explode_outer("all").alias("s")).select("doc_id", "s.*")
 
 
 def decoded(segmentations: DataFrame, model: str = "piece_bpe_32k.model", ids_col: str = "ids") -> DataFrame:
