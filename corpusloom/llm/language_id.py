@@ -27,7 +27,8 @@ ENTRIES = 5_000
 #: Lengths of the n-grams, longest first; 0 stands for whole words.
 LENGTHS = (5, 4, 3, 2, 1)
 EVIDENCE = 50
-REMEMBERED = 200_000
+#: Words whose scores a worker remembers.
+REMEMBERED = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -43,33 +44,42 @@ class Model:
 
     languages: list[str]
     tables: dict[int, dict[str, np.ndarray]]
-    floor: np.ndarray
-    seen: dict[str, np.ndarray] = field(default_factory=dict)
+    number: dict[str, int] = field(default_factory=dict)  # of words seen, into rows
+    rows: np.ndarray | None = None
 
     def word(self, w: str) -> np.ndarray:
+        """Scores of a word: its own, or those of the longest n-grams that are known."""
         got = self.tables[0].get(w)
         if got is not None:
             return got
-        got = self.seen.get(w)
-        if got is None:
-            got = self.floor
-            for n in LENGTHS:
-                known = [v for p in parts(w, n) if (v := self.tables[n].get(p)) is not None]
-                if known:
-                    got = np.mean(known, axis=0)
-                    break
-            if len(self.seen) > REMEMBERED:
-                self.seen.clear()
-            self.seen[w] = got
-        return got
+        for n in LENGTHS:
+            get = self.tables[n].get
+            known = [v for p in parts(w, n) if (v := get(p)) is not None]
+            if known:
+                return np.add.reduce(known) / len(known)
+        return np.zeros(len(self.languages))
+
+    def _numbers(self, words: list[str]) -> list[int]:
+        """Rows of ``rows`` that hold the words' scores; unseen words are added."""
+        found = list(map(self.number.get, words))
+        if None in found:
+            if self.rows is None or len(self.number) + len(words) > len(self.rows):
+                self.rows, self.number = np.zeros((max(REMEMBERED, 2 * len(words)), len(self.languages))), {}
+            for w in words:
+                if w not in self.number:
+                    self.rows[len(self.number)] = self.word(w)
+                    self.number[w] = len(self.number)
+            found = list(map(self.number.__getitem__, words))
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(WORD.findall(text.lower())) if text else None
         if not words or not self.languages:
             return "und", 0.0
-        total = np.array(list(words.values()), float) @ np.array([self.word(w) for w in words])
-        n = sum(words.values())
-        z = total * (min(n, EVIDENCE) / n)
+        at = self._numbers(list(words))
+        counts = np.fromiter(words.values(), np.float64, len(words))
+        n = counts.sum()
+        z = counts @ self.rows[at] * (min(n, EVIDENCE) / n)
         best = int(np.argmax(z))
         return self.languages[best], float(1 / np.exp(z - z[best]).sum())
 
@@ -100,7 +110,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], {n: {} for n in (0, *LENGTHS)}, np.zeros(0))
+        return Model([], {n: {} for n in (0, *LENGTHS)})
     share = F.lit(0.0)
     for lang in languages:
         share = F.when(F.col("lang") == lang, min(1.0, sample / sizes[lang])).otherwise(share)
@@ -116,7 +126,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     for r in kept.toLocalIterator():
         v = tables[r["n"]].setdefault(r["entry"], floors[r["n"]].copy())
         v[at[r["lang"]]] = np.log(r["count"] / (totals[r["lang"], r["n"]] + 1))
-    return Model(languages, tables, np.zeros(len(languages)))
+    return Model(languages, tables)
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

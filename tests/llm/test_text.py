@@ -41,7 +41,7 @@ def test_words_come_before_grams():
     table[0]["the"] = np.array([-1.0, -9.0])
     table[3]["<th"] = np.array([-8.0, -2.0])
     table[1]["t"] = np.array([-5.0, -6.0])
-    m = language_id.Model(["a", "b"], table, np.zeros(2))
+    m = language_id.Model(["a", "b"], table)
     assert m.predict("the")[0] == "a" and m.predict("thou")[0] == "b" and m.predict("xt")[0] == "a"
 
 
@@ -244,3 +244,23 @@ def test_query_returns_every_row(spark, sf_dir, name):
     got = queries.QUERIES[name](spark, sf_dir).select(key).distinct().count()
     assert got == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
     assert suffix_dedup.LENGTH == 100
+
+
+def test_lattices_are_cut_only_where_no_piece_crosses():
+    p = nbest_pieces.pieces()
+    mark = nbest_pieces.MARK
+    text = f"{mark}The{mark}cat,{mark}x²._y(z).{mark}{mark}a1b{mark}"
+    parts = p.word.findall(text)
+    assert "".join(parts) == text and f"{mark}cat" in parts
+    cuts = set(itertools.accumulate(map(len, parts)))
+    for i, j in itertools.combinations(range(len(text) + 1), 2):
+        assert text[i:j] not in p.table or not any(i < c < j for c in cuts)
+
+
+def test_packing_to_targets(spark, make):
+    texts = ["first source words " * 300, "second one's words " * 300, "third one " * 300] * 3
+    rows = packing.pack(make(texts), targets={"src0": 3, "src1": 1}, window=1024, sequence=4096).collect()
+    check_pieces(rows, list(enumerate(texts)))
+    first = [r for r in rows if r["window"] == 0]
+    share = lambda k: sum(r["length"] for r in first if r["doc_id"] % 3 == k)
+    assert (share(0), share(1), share(2)) == (768, 256, 0)
