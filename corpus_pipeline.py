@@ -28,7 +28,7 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, SimHash within two bits."""
+    """One document of each group of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
     return simhash_dedup.drop_near_copies(docs, words=5)
 
 

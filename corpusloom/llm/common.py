@@ -36,6 +36,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Column that tells rows apart, whatever their ids.
+ROW = "_row"
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs``, written with a unique number per row, so that the number holds whenever the rows are read."""
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
+def without_others(rows: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` (numbered) less all but one of each group: the smallest id stays, null ids last, then the first row.
+
+    ``groups`` has node (a row's number) and root; rows in no group stay.
+    """
+    order = F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("id"), F.col(ROW).alias("row"))
+    placed = rows.select(F.col(ROW).alias("node"), order.alias("o")).join(groups, "node")
+    best = stage(placed.groupBy("root").agg(F.min("o").alias("best")), "best")
+    gone = stage(placed.join(best.select("root", F.col("best.row").alias("stays")), "root").where("node <> stays").select(F.col("node").alias(ROW)), "others")
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Keep Arrow batches of whole texts within a worker's memory, whatever the texts' length."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
