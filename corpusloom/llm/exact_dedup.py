@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import ROW, numbered, stage
 
 #: The white space that equality ignores, [\x20\x09-\x0D].
 WHITE_SPACE = " \n\t\r\x0b\x0c"
@@ -53,11 +53,11 @@ def verified_salt(texts: DataFrame) -> int:
         salt += 1
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_points, text_sha256 and the recipe, a list of verified identifiers."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("n_points"), normalised(F.col(text_col)).alias("norm"))
+def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, columns ``more``, n_points, text_sha256 and the recipe, a list of verified identifiers."""
+    base = docs.select(F.col(id_col).alias("doc_id"), *more, F.coalesce(F.length(text_col), F.lit(0)).alias("n_points"), normalised(F.col(text_col)).alias("norm"))
     salt = verified_salt(base.select("norm"))
-    out = base.select("doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), lambda c: _identifier(c, salt)).alias("recipe"))
+    out = base.select("doc_id", *more, "n_points", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), lambda c: _identifier(c, salt)).alias("recipe"))
     return stage(out, "recipes")
 
 
@@ -82,10 +82,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`exact_dedup` keeps."""
-    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    gone = stage(gone, "copies")
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
+    """The rows of ``docs``, all columns, that :func:`exact_dedup` keeps; of rows that repeat an id and a text one."""
+    rows = numbered(docs, "exact-rows")
+    found = recipes(rows, id_col, text_col, (ROW,)).withColumn("h", F.xxhash64("recipe"))
+    best = F.max(F.struct("n_points", F.expr("~doc_id").alias("inverse"), (-F.col(ROW)).alias("minus"))).alias("best")
+    groups = found.groupBy("h", "recipe").agg(F.count("*").alias("n"), best).where("n > 1").select("h", "recipe", (-F.col("best.minus")).alias("stays"))
+    gone = found.join(stage(groups, "groups"), ["h", "recipe"]).where(F.col(ROW) != F.col("stays")).select(ROW)
+    return rows.join(stage(gone, "copies"), ROW, "left_anti").drop(ROW)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import ROW, numbered, small_batches, stage
 
 #: Length of a repeated string, and of the hashed strings among which its trigger is.
 LENGTH = 100
@@ -283,6 +283,21 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return told.where("repeat").select("doc_id", "start", "n").union(few).union(many.select("doc_id", "start", F.lit(1)))
 
 
+#: Column with a row's place in corpus order, a unique long; null for a row without id.
+KEY = "_key"
+
+
+def _placed(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with each row's place: its id, or a number in the order of ids and rows where ids are repeated."""
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
+    if ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return docs.withColumn(KEY, F.col(id_col).cast("long"))
+    rows = numbered(docs, "suffix-rows")
+    order = rows.select(F.col(id_col).cast("long").alias("id"), ROW).where("id is not null").orderBy("id", ROW)
+    places = stage(order.select(ROW, F.monotonically_increasing_id().alias(KEY)), "places")
+    return rows.join(places, ROW, "left").drop(ROW)
+
+
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -319,16 +334,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Earlier: in a row with a smaller id, or in the same text at an earlier start; overlaps
     count, and strings are judged on the input. Returns one row per input row: doc_id, n_bytes,
     n_removed, n_spans (maximal removed runs), kept_sha256, and kept (the remaining bytes) if
-    ``with_bytes``. Ids are integers and should be unique; rows that share one are the same
-    document to this operator: a text that repeats under one id keeps its first copy of a string
-    only where the copies start at different places. A row with a null id is returned uncut and
+    ``with_bytes``. Ids are integers; rows that share one are documents of their own, in any
+    order among themselves. A row with a null id is returned uncut and
     takes no part in matching. A null text counts as empty; texts shorter than ``length`` stay
     whole. Other columns are ignored; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    runs = repeated_windows(base.where("doc_id is not null"), length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    out = base.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(_cut(length, with_bytes), _RESULT)
+    base = _placed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+    known = base.where(F.col(KEY).isNotNull()).select(F.col(KEY).alias("doc_id"), "text")
+    runs = repeated_windows(known, length, gram).groupBy(F.col("doc_id").alias(KEY)).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    out = base.join(runs, KEY, "left").select("doc_id", "text", "runs").mapInArrow(_cut(length, with_bytes), _RESULT)
     return out if with_bytes else out.drop("kept")
 
 
@@ -336,11 +351,13 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated strings removed from its texts, same columns.
 
     Bytes of a character that a cut divides are dropped with it. ``count_col``, where it
-    exists, becomes the new text's number of characters. Ids are unique.
+    exists, becomes the new text's number of characters. Rows that share an id are documents
+    of their own; a row with a null id stays whole and takes no part.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    runs = repeated_windows(base.where("doc_id is not null"), length).groupBy(F.col("doc_id").alias("run_id")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    rows = _placed(docs, id_col)
+    known = rows.where(F.col(KEY).isNotNull()).select(F.col(KEY).alias("doc_id"), F.col(text_col).alias("text"))
+    runs = repeated_windows(known, length).groupBy(F.col("doc_id").alias("run_id")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
     @F.pandas_udf("string")
     def rest(texts, runs):  # noqa: ANN001, ANN202
@@ -360,7 +377,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(np.frombuffer(data, np.uint8)[keep].tobytes().decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(runs, F.col(id_col) == F.col("run_id"), "left")
+    joined = rows.join(runs, F.col(KEY) == F.col("run_id"), "left")
     out = joined.select(*[F.when(F.col("runs").isNull(), F.col(text_col)).otherwise(rest(F.col(text_col), F.col("runs"))).alias(c) if c == text_col else F.col(c) for c in docs.columns])
     if count_col and count_col in docs.columns:
         out = out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType))
