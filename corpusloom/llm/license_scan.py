@@ -28,11 +28,14 @@ PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general publi
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit", "released under the mit license"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("apache", "licensed under the apache license version 2 0"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
     ("cc", "this work is licensed under a creative commons attribution 4 0 international license"),
@@ -164,19 +167,37 @@ class Scanner:
     def covered(self, template: int, matches: list[tuple[int, int, int]]) -> tuple[float, list[tuple[int, int]]]:
         """Largest share of the template that a chain of matches covers, ordered in text and template, and its spans in the text.
 
+        Chains are searched in stretches of the text four times as long as the template; a stretch begins
+        in the middle of the one before, so every chain up to twice as long as the template lies whole in
+        one, wherever it stands and whatever matches precede it.
+        """
+        matches.sort(key=lambda m: (m[0] + m[2], m[1]))
+        half = 2 * self.sizes[template] + LEAST
+        stretches: dict[int, list[tuple[int, int, int]]] = {}
+        for m in matches:
+            k = m[0] // half
+            stretches.setdefault(k, []).append(m)
+            if k:
+                stretches.setdefault(k - 1, []).append(m)
+        best, where = 0, []
+        for k in sorted(stretches):
+            gain, spans = self._chain(stretches[k])
+            if gain > best:
+                best, where = gain, spans
+        return min(best / self.sizes[template], 1.0), where
+
+    @staticmethod
+    def _chain(matches: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int]]]:
+        """Most words that a chain of matches (sorted by end in the text) covers, and its spans in the text.
+
         A chain's matches end in ascending order on both sides; its gain is what each adds in the
         template. Ends in the text ascend by sorting; a staircase of the best chains by end in the
-        template keeps each step logarithmic. The chain lies within a stretch of twice the template.
+        template keeps each step logarithmic.
         """
-        best, where = 0.0, []
-        size = self.sizes[template]
-        matches.sort(key=lambda m: (m[0] + m[2], m[1]))
         chains: list[tuple[int, int, int]] = []  # (end in the template, covered, number of its last match), both ascending
         before: list[int] = []
-        first = 0
-        for k, (text, at, n) in enumerate(matches):
-            if k and text > matches[first][0] + 2 * size + LEAST:
-                chains, first = [], k
+        best, last = 0, -1
+        for k, (_, at, n) in enumerate(matches):
             j = bisect.bisect_right(chains, (at, 1 << 60, 0)) - 1
             gain, prior = (chains[j][1] + n, chains[j][2]) if j >= 0 else (n, -1)
             before.append(prior)
@@ -185,12 +206,13 @@ class Scanner:
                 del chains[i]
             if i == 0 or chains[i - 1][1] < gain:
                 chains.insert(i, (at + n, gain, k))
-            if gain / size > best:
-                best, where, p = gain / size, [], k
-                while p >= 0:
-                    where.append((matches[p][0], matches[p][0] + matches[p][2]))
-                    p = before[p]
-        return min(best, 1.0), where[::-1]
+            if gain > best:
+                best, last = gain, k
+        where = []
+        while last >= 0:
+            where.append((matches[last][0], matches[last][0] + matches[last][2]))
+            last = before[last]
+        return best, where[::-1]
 
     def scan(self, text: str | None) -> tuple:
         """(n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of a text."""
