@@ -17,16 +17,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, small_batches, utf8
+from .common import crc_fold, small_batches, stage, utf8
 
-#: Bytes of the n-grams, hash buckets, labelled rows in the sample at most, features kept.
+#: Bytes of the n-grams, hash buckets, labelled rows in the sample at most.
 GRAMS = (4, 6)
 BUCKETS = 1 << 20
 SAMPLE = 16_000
-FEATURES = 4_096
 #: A feature's count must stray from chance by so much (one in two thousand or so); so many are kept anyhow.
 STRAY, FEATURES_AT_LEAST = 12.0, 64
 THRESHOLD = 0.3
+#: Log-odds of every text where there is nothing to learn from.
+NOTHING_LEARNED = -20.0
 
 _LETTERS = bytes(b"abcdefghijklmnopqrstuvwxyz"[c - 65] if 65 <= c < 91 else c if 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 _BYTE = np.random.default_rng(6).integers(1, 2**63, size=256, dtype=np.uint64) | np.uint64(1)
@@ -93,25 +94,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on at most ``sample`` labelled rows, those with the smallest hashes of their ids.
 
     ``labels`` has ``id_col`` and ``label_col`` (0 or 1); null labels and ids are left out, and of
-    repeated ids the larger label counts. Without rows of both labels the scores are the
-    positives' share, smoothed.
+    repeated ids the larger label counts. Without rows of both labels nothing can be learned and
+    every text scores near zero, so that nothing is rejected without evidence. The sample's texts are written
+    once; all that follows reads them there. Every n-gram of the sample whose counts stray from
+    chance is a feature.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
     # The sample's size is bounded by its limit, so it can be sent to every task.
     rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").select("text", "label")
+    rows = stage(rows, "toxicity-sample")
     counts = rows.mapInPandas(_presence, "bucket int, negative long, positive long").groupBy("bucket").agg(F.sum("negative").alias("negative"), F.sum("positive").alias("positive"))
     n0, n1 = (int(x or 0) for x in rows.agg(F.sum(F.expr("1 - label")), F.sum("label")).first())
     weight = np.zeros(BUCKETS, np.float32)
     if not n0 or not n1:
-        return Model(weight, float(np.log((n1 + 0.5) / (n0 + 0.5))))
+        return Model(weight, NOTHING_LEARNED)
     p, q = (F.col("positive") + 0.5) / (n1 + 1.0), (F.col("negative") + 0.5) / (n0 + 1.0)
     # How far the counts stray from chance (the likelihood-ratio statistic of presence against label).
     share = (F.col("positive") + F.col("negative")) / (n0 + n1)
     cells = [(F.col("positive"), n1 * share), (F.col("negative"), n0 * share), (n1 - F.col("positive"), n1 * (1 - share)), (n0 - F.col("negative"), n0 * (1 - share))]
     stray = 2 * sum((F.when(seen > 0, seen * F.log(seen / chance)).otherwise(0.0) for seen, chance in cells), F.lit(0.0))
-    best = counts.select("bucket", F.log(p / q).alias("ratio"), stray.alias("stray")).orderBy(F.desc("stray"), "bucket").limit(FEATURES).collect()
-    best = [r for k, r in enumerate(best) if r["stray"] >= STRAY or k < FEATURES_AT_LEAST]
+    told = stage(counts.select("bucket", F.log(p / q).alias("ratio"), stray.alias("stray")), "toxicity-features")
+    best = told.where(F.col("stray") >= STRAY).orderBy("bucket").collect()  # BUCKETS at most
+    if len(best) < FEATURES_AT_LEAST:
+        best = told.orderBy(F.desc("stray"), "bucket").limit(FEATURES_AT_LEAST).collect()
     number = np.full(BUCKETS, -1, np.int32)
     number[[r["bucket"] for r in best]] = np.arange(len(best))
     ratio = np.array([r["ratio"] for r in best])
@@ -131,7 +137,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with a score in 0 to 1 for every whole text; a null text scores as an empty one."""
+    """``docs`` with a score in 0 to 1 for every whole text; a null text scores as an empty one.
+
+    Repeated rows come back as often as they stand, null ids too; a column of ``docs`` called ``score_col`` is
+    replaced. An empty table gives an empty result.
+    """
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
