@@ -17,8 +17,9 @@ from .common import ROW, numbered, stage
 
 #: The white space that equality ignores, [\x20\x09-\x0D].
 WHITE_SPACE = " \n\t\r\x0b\x0c"
-#: Places where a cut may be, and the share (a power of two) of them that the hash keeps.
-PROPOSE = "(?<=[.sS0。а])"
+#: A cut may follow a letter, digit or last byte of a letter whose low three bits are 011: whatever the script, they tell a
+#: letter from its neighbours, so an eighth of its letters are among them. The hash keeps so many of the places (a power of two).
+PROPOSE = "(?<=[3CKScks\u0083\u008b\u0093\u009b\u00a3\u00ab\u00b3\u00bb])"
 KEEP_ONE_IN = 32
 
 
@@ -31,8 +32,8 @@ def normalised(text: Column) -> Column:
 
 
 def chunks(norm: Column) -> Column:
-    """Content-defined chunks of a normalised text, in order; they concatenate to it."""
-    pieces = F.split(norm, PROPOSE)
+    """Content-defined chunks of a normalised text's UTF-8 bytes, in order; they concatenate to it. A byte stands as one character."""
+    pieces = F.split(F.decode(F.encode(norm, "UTF-8"), "ISO-8859-1"), PROPOSE)
     # A line feed can't stand in a normalised text, so it can mark the cuts.
     marked = F.transform(pieces, lambda s: F.when(F.xxhash64(s).bitwiseAND(KEEP_ONE_IN - 1) == 0, F.concat(s, F.lit("\n"))).otherwise(s))
     return F.split(F.array_join(marked, ""), "\n")
@@ -42,11 +43,11 @@ def _identifier(chunk: Column, salt: int) -> Column:
     return F.xxhash64(F.lit(salt), chunk)
 
 
-def verified_salt(texts: DataFrame) -> int:
-    """The first salt under which no two different chunks of ``texts`` (column norm) share an identifier."""
+def verified_salt(cut: DataFrame) -> int:
+    """The first salt under which no two different chunks of ``cut`` (column chunks) share an identifier."""
     salt = 0
     while True:
-        found = texts.select(F.explode(chunks(F.col("norm"))).alias("chunk")).select(_identifier(F.col("chunk"), salt).alias("id"), "chunk")
+        found = cut.select(F.explode("chunks").alias("chunk")).select(_identifier(F.col("chunk"), salt).alias("id"), "chunk")
         clash = found.groupBy("id", "chunk").agg(F.lit(1).alias("one")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
         if clash.isEmpty():
             return salt
@@ -54,11 +55,19 @@ def verified_salt(texts: DataFrame) -> int:
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, columns ``more``, n_points, text_sha256 and the recipe, a list of verified identifiers."""
+    """One row per document: doc_id, columns ``more``, n_points, text_sha256 and the recipe, a list of verified identifiers.
+
+    Texts are cut once, into a table in the shared folder; identifiers are verified and recipes read from there.
+    """
     base = docs.select(F.col(id_col).alias("doc_id"), *more, F.coalesce(F.length(text_col), F.lit(0)).alias("n_points"), normalised(F.col(text_col)).alias("norm"))
-    salt = verified_salt(base.select("norm"))
-    out = base.select("doc_id", *more, "n_points", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), lambda c: _identifier(c, salt)).alias("recipe"))
-    return stage(out, "recipes")
+    cut = stage(base.select("doc_id", *more, "n_points", F.sha2("norm", 256).alias("text_sha256"), chunks(F.col("norm")).alias("chunks")), "chunks")
+    salt = verified_salt(cut.select("chunks"))
+    return stage(cut.select("doc_id", *more, "n_points", "text_sha256", F.transform("chunks", lambda c: _identifier(c, salt)).alias("recipe")), "recipes")
+
+
+def _order(*more: str) -> Column:
+    """Order of the rows of a group: the most code points first, then the smallest id, null ids last."""
+    return F.struct((-F.col("n_points")).alias("minus"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *more)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,10 +80,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns are ignored, whatever their names; an empty table gives an empty result.
     """
     rows = recipes(docs, id_col, text_col).withColumn("h", F.xxhash64("recipe"))
-    # ~id orders ids downwards without overflow.
-    best = F.max(F.struct("n_points", F.expr("~doc_id").alias("inverse")))
-    groups = rows.groupBy("h", "recipe").agg(F.count("*").alias("n"), best.alias("best")).where("n > 1")
-    groups = groups.select("h", "recipe", F.col("n").alias("group_n"), F.expr("~best.inverse").alias("best_id"))
+    groups = rows.groupBy("h", "recipe").agg(F.count("*").alias("n"), F.min(_order()).alias("best")).where("n > 1")
+    groups = groups.select("h", "recipe", F.col("n").alias("group_n"), F.col("best.id").alias("best_id"))
     groups = stage(groups, "groups")  # so that both sides of the join are plain exchanges, which Spark can split where a key is hot
     joined = rows.join(groups, ["h", "recipe"], "left")
     keep = F.when(F.col("group_n").isNull(), F.col("doc_id")).otherwise(F.col("best_id"))
@@ -82,11 +89,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`exact_dedup` keeps; of rows that repeat an id and a text one."""
+    """The rows of ``docs``, all columns, that :func:`exact_dedup` keeps; of rows that repeat an id and a text one.
+
+    Ids may be of any type that has an order. A row is told from others by a number of its own, so texts under a repeated or
+    null id are not lost. Columns may have any names but ``_row``. An empty table gives an empty one.
+    """
     rows = numbered(docs, "exact-rows")
     found = recipes(rows, id_col, text_col, (ROW,)).withColumn("h", F.xxhash64("recipe"))
-    best = F.max(F.struct("n_points", F.expr("~doc_id").alias("inverse"), (-F.col(ROW)).alias("minus"))).alias("best")
-    groups = found.groupBy("h", "recipe").agg(F.count("*").alias("n"), best).where("n > 1").select("h", "recipe", (-F.col("best.minus")).alias("stays"))
+    groups = found.groupBy("h", "recipe").agg(F.count("*").alias("n"), F.min(_order(ROW)).alias("best")).where("n > 1").select("h", "recipe", F.col(f"best.{ROW}").alias("stays"))
     gone = found.join(stage(groups, "groups"), ["h", "recipe"]).where(F.col(ROW) != F.col("stays")).select(ROW)
     return rows.join(stage(gone, "copies"), ROW, "left_anti").drop(ROW)
 
