@@ -1,13 +1,16 @@
 """Operator 4: mixture-controlled packing by deficit round-robin over source queues.
 
-Every source is a queue of its documents' tokens. A window of WINDOW tokens gives each queue a
-quantum in proportion to its target; what a queue could not use, or was owed beyond whole
-tokens, is its deficit and is carried into the next window. The round-robin's state after any
-window is a closed function of the window's number (``Mixture``), so a deficit needs no
-hand-over from task to task: every task computes the windows of its own documents and all of
-them agree. Inside a window the queues' slices follow one another, and the line of all windows
-is cut into sequences; documents are cut freely, so only the end of the line is not full, and
-it becomes sequences whose lengths are powers of two, which need no padding.
+Every source is a queue of its documents' tokens. A window of WINDOW tokens gives each queue that is
+not dry a quantum in proportion to its target; it serves as many whole tokens as its credit
+allows, and what is left of the credit is its deficit, carried into the next window. A dry
+queue's part goes to the others. After any window a queue has therefore served the whole part
+of all the credit it ever got, and its deficit is the fraction (``Mixture.deficit``). Credits
+are a function of the window's number, so deficits need no hand-over from task to task: every
+task computes the windows of its own documents and all of them agree; tests hold this against
+a round-robin that is carried out window by window. Inside a window the queues' slices follow
+one another, and the line of all windows is cut into sequences; documents are cut freely, so
+only the end of the line is not full, and it becomes sequences whose lengths are powers of
+two, which need no padding.
 
 Documents are encoded once, into a table in the shared folder that also holds each document's
 place in its queue within its block (a task's share of the input); the blocks' bases come from
@@ -16,7 +19,6 @@ sums over that table without its ids.
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
 
@@ -33,73 +35,81 @@ SEQUENCE = 4096
 #: Tokens of a window: the mixture holds in every 16 sequences.
 WINDOW = 16 * SEQUENCE
 END_OF_TEXT = 2
-#: Queues at most; with more sources than that, sources share queues by their hash.
-QUEUES = 1024
+#: Targets of the query: shares by this power of a source's tokens, so that a large source does not crowd out the others.
+TEMPERATURE = 0.5
 
 
 class Mixture:
     """Where the tokens of each queue stand on the line of all windows.
 
-    ``totals`` are the queues' tokens, ``targets`` their shares (any positive scale). While all
-    queues last, each gets its share of every window; when one runs dry the others share its
-    part, which is a new phase. Within a phase queue s has been served c + floor(w_s (v - v0) / w)
-    tokens at virtual time v, in whole numbers.
+    ``totals`` are the queues' tokens, ``targets`` their shares (any positive scale; without them,
+    the totals). A queue's credit at level x is weight * (x - begin); the level of a window's end
+    is where the credits of all queues, none above its total, sum to the windows' tokens. Queues
+    without a target begin when all others are dry, in proportion to their totals. Levels come
+    from sorted sums, in logarithmic time, so many queues cost no more than a few.
     """
 
-    def __init__(self, totals: dict[str, int], targets: dict[str, int] | None = None, window: int = WINDOW):
+    def __init__(self, totals: dict[str, int], targets: dict[str, float] | None = None, window: int = WINDOW):
         self.names = sorted(totals)
+        self.number = {s: k for k, s in enumerate(self.names)}
         self.window = window
-        weight = {s: (targets or {}).get(s, 0 if targets else totals[s]) for s in self.names}
-        if targets:  # queues without a target come last, in proportion
-            phases = [{s: weight[s] for s in self.names if weight[s] > 0}, {s: totals[s] for s in self.names if weight[s] <= 0 and totals[s] > 0}]
-        else:
-            phases = [{s: totals[s] for s in self.names if totals[s] > 0}]
-        served = dict.fromkeys(self.names, 0)
-        self.phases: list[tuple[int, int, dict[str, int], dict[str, int]]] = []  # (from, to, weights, served before)
-        v = 0
-        for live in phases:
-            live = {s: w for s, w in live.items() if totals[s] > 0}
-            while live:
-                whole = sum(live.values())
-                # virtual time until the first live queue is dry
-                span = min(-(-(totals[s] - served[s]) * whole // w) for s, w in live.items())
-                self.phases.append((v, v + span, dict(live), dict(served)))
-                for s, w in live.items():
-                    served[s] = min(totals[s], served[s] + w * span // whole)
-                v += span
-                live = {s: w for s, w in live.items() if served[s] < totals[s]}
-        self.totals = totals
-        self.end = v
-        self.windows = -(-v // window)
-        self._starts = [p[0] for p in self.phases]
-
-    def served(self, queue: str, window: int) -> int:
-        """Tokens of ``queue`` in all windows before ``window``."""
-        v = min(window * self.window, self.end)
-        k = bisect.bisect_right(self._starts, v) - 1
-        if k < 0:
-            return 0
-        begin, _, live, before = self.phases[k]
-        if queue not in live:
-            return before[queue]
-        return min(self.totals[queue], before[queue] + live[queue] * (v - begin) // sum(live.values()))
-
-    def window_of(self, queue: str, position: int) -> int:
+        self.total = np.array([totals[s] for s in self.names], np.int64)
+        self.end = int(self.total.sum())
+        self.windows = -(-self.end // window)
+        weight = np.array([(targets or {}).get(s, 0.0) if targets else float(totals[s]) for s in self.names], np.float64)
+        named = weight > 0
+        if named.any():
+            weight[named] *= self.total[named].sum() / weight[named].sum() or 1.0
+        lasts = (self.total[named] / weight[named]).max(initial=0.0)
+        self.weight = np.where(named, weight, np.maximum(self.total, 1))
+        self.begin = np.where(named, 0.0, lasts)
+        dry = self.begin + self.total / self.weight
+        # levels at which the sum of credits bends, the sum there, and its slope from there on
+        at = np.concatenate([self.begin, dry])
+        order = np.argsort(at, kind="stable")
+        self.levels = at[order]
+        self.slopes = np.cumsum(np.concatenate([self.weight, -self.weight])[order])
+        self.sums = np.concatenate([[0.0], np.cumsum(self.slopes[:-1] * np.diff(self.levels))])
+
+    def level(self, window: int) -> float:
+        """The level at the beginning of ``window``."""
+        v = float(min(window * self.window, self.end))
+        k = max(int(np.searchsorted(self.sums, v, side="right")) - 1, 0)
+        if k + 1 >= len(self.levels) or self.slopes[k] <= 0:
+            return float(self.levels[k])
+        return float(min(self.levels[k] + (v - self.sums[k]) / self.slopes[k], self.levels[k + 1]))
+
+    def credit(self, window: int) -> np.ndarray:
+        """What each queue was given before ``window``, none more than its total."""
+        if window >= self.windows:
+            return self.total.astype(np.float64)
+        return np.clip(self.weight * (self.level(window) - self.begin), 0, self.total)
+
+    def served(self, window: int) -> np.ndarray:
+        """Tokens of each queue in all windows before ``window``."""
+        return np.floor(np.minimum(self.credit(window) + 1e-6, self.total)).astype(np.int64)  # a whole token is whole, whatever the last digits say
+
+    def deficit(self, window: int) -> np.ndarray:
+        """Credit that each queue carries into ``window``, in parts of a token."""
+        return np.maximum(self.credit(window) - self.served(window), 0.0)
+
+    def window_of(self, queue: int, position: int) -> int:
         """The window that holds the queue's token ``position``."""
-        lo, hi = 0, self.windows
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if self.served(queue, mid) <= position else (lo, mid)
-        return lo
-
-    def layout(self, window: int) -> dict[str, int]:
-        """Where each queue's slice of ``window`` begins on the line."""
-        base = sum(self.served(s, window) for s in self.names)
-        out = {}
-        for s in self.names:
-            out[s] = base
-            base += self.served(s, window + 1) - self.served(s, window)
-        return out
+        x = self.begin[queue] + (position + 1) / self.weight[queue]
+        k = max(int(np.searchsorted(self.levels, x, side="right")) - 1, 0)
+        v = self.sums[k] + max(self.slopes[k], 0.0) * (x - self.levels[k])
+        w = min(max(int(v // self.window), 0), self.windows - 1)
+        while w > 0 and self.served(w)[queue] > position:
+            w -= 1
+        while w + 1 < self.windows and self.served(w + 1)[queue] <= position:
+            w += 1
+        return w
+
+    def layout(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each queue: tokens served before and after ``window``, and where its slice begins on the line."""
+        before, after = self.served(window), self.served(window + 1)
+        size = after - before
+        return before, after, before.sum() + np.cumsum(size) - size
 
 
 def sequence_at(position: int, total: int, sequence: int = SEQUENCE) -> tuple[int, int, int]:
@@ -144,23 +154,25 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def _cut(mixture: Mixture, total: int, sequence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layouts: dict[int, dict[str, int]] = {}
+        layouts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        most = max((64 << 20) // (24 * max(len(mixture.names), 1)), 8)  # so many layouts are kept
         for batch in batches:
             rows: list[tuple] = []
-            for doc, queue, base, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "place", "n", "ids")), strict=True):
+            for doc, name, base, n, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "place", "n", "ids")), strict=True):
                 data = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes()
+                queue = mixture.number[name]
                 done, window = 0, mixture.window_of(queue, base)
                 while done < n:
-                    until = mixture.served(queue, window + 1)
-                    if until <= base + done:
-                        window += 1
-                        continue
                     if window not in layouts:
-                        if len(layouts) > 4096:
+                        if len(layouts) > most:
                             layouts.clear()
                         layouts[window] = mixture.layout(window)
-                    line = layouts[window][queue] + base + done - mixture.served(queue, window)
-                    seq, offset, room = sequence_at(line, total, sequence)
+                    before, after, line = layouts[window]
+                    until = int(after[queue])
+                    if until <= base + done:
+                        window += 1
+                        continue
+                    seq, offset, room = sequence_at(int(line[queue]) + base + done - int(before[queue]), total, sequence)
                     size = min(n - done, until - base - done, room)
                     rows.append((doc, done, size, zlib.crc32(data[4 * done : 4 * (done + size)]), n, seq, offset, window))
                     done += size
@@ -170,38 +182,35 @@ def _cut(mixture: Mixture, total: int, sequence: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source", targets: dict[str, int] | None = None, sequence: int = SEQUENCE, window: int = WINDOW, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", queue_col: str = "source", targets: dict[str, float] | None = None, temperature: float = 1.0, sequence: int = SEQUENCE, window: int = WINDOW, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     """Pack all documents into sequences of at most ``sequence`` tokens, a mixture of the queues in every window.
 
-    ``targets`` maps values of ``queue_col`` to shares (at most a few thousand); without it each
-    queue's share is its part of all tokens. Queues that are not named follow after the named ones. Returns one row per
-    piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window. A null or
-    empty text is the end token alone; a null queue is a queue of its own; repeated rows are
-    packed as often as they stand. Other columns are ignored; an empty table gives no pieces.
+    ``targets`` maps values of ``queue_col`` to shares; queues that it does not name follow when all
+    named ones are dry. Without it a queue's share is its tokens to the power ``temperature``.
+    The driver holds one sum per queue. Returns one row per piece: doc_id, start, length,
+    ids_crc32, doc_tokens, sequence_id, offset, window. A null or empty text is the end token
+    alone; a null queue is a queue of its own; null ids stay null and repeated rows are packed as
+    often as they stand, in any order among themselves. Other columns are ignored, whatever
+    their names; an empty table gives no pieces.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    own = F.concat(F.lit("q:"), F.col(queue_col).cast("string"))
-    shared = F.concat(F.lit("h:"), F.pmod(F.xxhash64(queue_col), F.lit(QUEUES)).cast("string"))
-    name = F.coalesce(own, F.lit("null"))
-    if targets:
-        name = F.when(F.col(queue_col).cast("string").isin(*targets), own).otherwise(shared)
-    elif docs.select(F.approx_count_distinct(queue_col)).first()[0] > QUEUES * 0.9:  # the count is within a few hundredths
-        name = shared
+    name = F.coalesce(F.concat(F.lit("q:"), F.col(queue_col).cast("string")), F.lit("null"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), name.alias("queue"), F.col(text_col).alias("text"))
     encoded = stage(base.mapInArrow(_encode(vocabulary), _TOKENS), "tokens")
-    sums = encoded.groupBy("queue", "block").agg(F.sum("n").alias("sum"))
-    totals = {r["queue"]: r["sum"] for r in sums.groupBy("queue").agg(F.sum("sum").alias("sum")).collect()}  # QUEUES rows and the targets at most
+    sums = stage(encoded.groupBy("queue", "block").agg(F.sum("n").alias("sum")), "sums")
+    totals = {r["queue"]: r["sum"] for r in sums.groupBy("queue").agg(F.sum("sum").alias("sum")).collect()}
     bases = sums.select("queue", "block", F.expr("sum(sum) over (partition by queue order by block rows between unbounded preceding and current row) - sum").alias("base"))
     bases = stage(bases, "bases")
-    mixture = Mixture(totals, {f"q:{k}": v for k, v in targets.items()} if targets else None, window)
+    shares = {f"q:{k}": float(v) for k, v in targets.items()} if targets else {k: float(v) ** temperature for k, v in totals.items()}
+    mixture = Mixture(totals, shares, window)
     placed = encoded.join(bases, ["queue", "block"]).select("doc_id", "queue", (F.col("base") + F.col("start")).alias("place"), "n", "ids")
-    return placed.mapInArrow(_cut(mixture, sum(totals.values()), sequence), _PIECES)
+    return placed.mapInArrow(_cut(mixture, mixture.end, sequence), _PIECES)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, queues by source at their own proportions, sequences of 4096 tokens."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every document, queues by source with targets by TEMPERATURE, sequences of 4096 tokens."""
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), temperature=TEMPERATURE)
 
 
 #: SQL has no tokenizer; tests hold the query against the library's ids.
