@@ -201,3 +201,34 @@ def test_graph_recall():
     ids, _ = graph.search(queries, 64)
     truth = np.argsort(-(queries @ v.T), axis=1)[:, :5]
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(ids.tolist(), truth.tolist())]) >= 0.9
+
+
+def test_links_of_large_groups_over_several_shards(spark):
+    """Groups of copies from 2 to 600 in six shards of one label: searches find nearly all links, and say so."""
+    g = np.random.default_rng(5)
+    sizes = [600, 200, 60, 30, *[2] * 40]
+    centres = g.normal(size=(len(sizes), 32))
+    v = np.concatenate([np.repeat(centres, sizes, axis=0), g.normal(size=(1500, 32))])
+    v[: sum(sizes)] += 0.12 * g.normal(size=(sum(sizes), 32))
+    v = v[g.permutation(len(v))]
+    df = spark.createDataFrame([(k, x.tolist(), 1) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(df, shard=450).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    real = unit @ unit.T >= 0.93
+    want = real.sum(axis=1) - 1
+    found = np.array([got[k]["n_links"] for k in range(len(v))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+    assert got[0]["recall"] >= 0.99
+
+
+def test_components_of_a_link_matrix():
+    g = np.random.default_rng(6)
+    for _ in range(20):
+        hit = g.random((40, 50)) < 0.015
+        rows, cols = embedding_dedup._components(hit)
+        names = brute_components(range(90), lambda i, j: i < 40 <= j and hit[i, j - 40])
+        for i in range(40):
+            assert (rows[i] < 0) == (not hit[i].any())
+            for j in range(50):
+                if rows[i] >= 0 and cols[j] >= 0:
+                    assert (rows[i] == cols[j]) == (names[i] == names[40 + j])
