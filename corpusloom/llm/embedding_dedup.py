@@ -317,10 +317,12 @@ def _link_task(limit: float):
                 hit[rr[~sure], cc[~sure]] = False
                 counts[0] += np.bincount(rr[sure], minlength=len(counts[0]))
                 counts[1] += np.bincount(cc[sure], minlength=len(counts[1]))
+        if a == b:
+            np.fill_diagonal(hit, True)  # a vector is one node, as a query and as what is found
         rows, cols = _components(hit)
         both = [(left[0], rows, counts[0])] + ([(right[0], cols, counts[1])] if a != b else [])
         ids, of, n = (np.concatenate(x) for x in zip(*both, strict=True))
-        some = of >= 0
+        some = n > 0
         ids, of, n = ids[some], of[some], n[some]
         least = np.full(int(of.max(initial=-1)) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, of, ids)
