@@ -10,11 +10,15 @@ Dictionary. The first occurrence of a key, in corpus order, enters the dictionar
 of a later occurrence starts a repeated string. Repeats inside a task's block of texts are
 settled there, so a frequent phrase sends one row per block, never one per document.
 
-Suffixes. Two dictionary phrases can share a 100-byte string only if they share their trigger.
-For those that do, and no others, the phrases' suffixes are ordered: only their first 100 bytes
-matter here, so equal suffix keys are brought together, and the parse's positions (doc_id,
-start) give each class its place in corpus order. All but the first are repeats. The suffix
-keys pair the trigger's hash with a hash of the 100 bytes (128 bits in all).
+Suffix array. Two dictionary phrases can share a 100-byte string only if they share their trigger.
+The phrases of triggers that stand in several phrases, and no others, come together by trigger;
+there the dictionary's suffixes that hold a whole string are sorted by their bytes, as far as 100
+(deeper order tells nothing here), and neighbours are compared byte by byte. Phrases overlap by
+99 bytes, so every 100-byte string lies whole in a phrase and what follows in the parse is never needed
+to order it; of the parse only the positions (doc_id, start) enter, which put each class of equal
+suffixes in corpus order. All but the first are repeats. A trigger with more than CROWD phrases would
+be one large task; its suffixes are dealt by the trigger's hash and one of the 100 bytes instead
+(128 bits in all), as are phrases by the hashes of trigger and content.
 
 Rows are phrases (one per 35 bytes or so), not bytes; suffixes are expanded only where a
 trigger repeats in different surroundings, at the ends of repeated passages.
@@ -36,10 +40,12 @@ from .common import ROW, numbered, small_batches, stage
 LENGTH = 100
 GRAM = 32
 #: Bytes of text whose repeats are settled together, and bytes that are hashed at a time, at most.
-BLOCK = 1 << 24
+BLOCK = 1 << 23
 STRETCH = 1 << 20
 #: Dictionary phrases of one trigger up to which their suffixes are ordered in one task; beyond, each suffix is a row of its own.
 CROWD = 512
+#: Dictionary phrases whose suffixes are sorted together, about.
+SORTED = 4096
 _POSITION = np.uint64((1 << 25) - 1)
 
 _MIX = np.random.default_rng(7).integers(1, 2**63, size=(16, 2), dtype=np.uint64) | np.uint64(1)
@@ -238,12 +244,26 @@ def _later(h: np.ndarray, w: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tu
     return order, np.r_[False, (h[order][1:] == h[order][:-1]) & (w[order][1:] == w[order][:-1])]
 
 
-def _settle(length: int, gram: int):
+def suffix_array(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of ``data`` at the places ``at`` in order of their first ``length`` bytes, equal ones in the order given; which of them equal the one before."""
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)[at]
+    # All have one length, so that zero bytes at the end, which this type does not see, make no two of them equal.
+    order = np.argsort(strings.view(f"S{length}").ravel(), kind="stable")
+    ordered = strings[order]
+    return order, np.r_[np.zeros(min(len(at), 1), bool), (ordered[1:] == ordered[:-1]).all(axis=1)]
+
+
+def _settle(length: int):
     """Repeats among the suffixes of phrases that come sorted by trigger; a trigger's phrases stay together."""
 
     def told(phrases: list[tuple]) -> pa.RecordBatch:
-        h, w, doc, pos = _keys(phrases, length, gram)
-        order, again = _later(h, w, doc, pos)
+        phrases.sort(key=lambda p: p[1:3])  # the parse's order
+        doc, start, n = (np.array(x, np.int64) for x in zip(*(p[1:4] for p in phrases), strict=True))
+        first = np.cumsum(n + length - 1) - (n + length - 1)
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        doc, pos = np.repeat(doc, n), np.repeat(start, n) + step
+        # phrases of one text overlap in the strings of no window, so (doc, pos) ascends
+        order, again = suffix_array(np.frombuffer(b"".join(p[4] for p in phrases), np.uint8), np.repeat(first, n) + step, length)
         order = order[again]
         return pa.RecordBatch.from_arrays([pa.array(doc[order]), pa.array(pos[order]), pa.array(np.ones(len(order), np.int32))], ["doc_id", "start", "n"])
 
@@ -251,7 +271,7 @@ def _settle(length: int, gram: int):
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "start", "n", "bytes")), strict=True):
-                if len(held) >= 20_000 and row[0] != held[-1][0]:
+                if len(held) >= SORTED and row[0] != held[-1][0]:
                     yield told(held)
                     held = []
                 held.append(row)
@@ -277,7 +297,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     suffixes = docs.join(asked, "doc_id").select("doc_id", "text", "phrases").mapInArrow(_suffixes(length, gram), _SUFFIXES)
     suffixes = stage(suffixes, "suffixes")
     few = suffixes.where("bytes is not null").select("h", "doc_id", "start", "n", "bytes").repartition("h").sortWithinPartitions("h")
-    few = few.mapInArrow(_settle(length, gram), "doc_id long, start long, n int")
+    few = few.mapInArrow(_settle(length), "doc_id long, start long, n int")
     many = suffixes.where("bytes is null and not repeat").select("doc_id", "start", F.expr("row_number() over (partition by h, w order by doc_id, start)").alias("place")).where("place > 1")
     many = many.union(suffixes.where("repeat").select("doc_id", "start", F.lit(2)))
     return told.where("repeat").select("doc_id", "start", "n").union(few).union(many.select("doc_id", "start", F.lit(1)))
@@ -352,12 +372,13 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Bytes of a character that a cut divides are dropped with it. ``count_col``, where it
     exists, becomes the new text's number of characters. Rows that share an id are documents
-    of their own; a row with a null id stays whole and takes no part.
+    of their own; a row with a null id stays whole and takes no part. Columns may have any names but
+    those that begin with an underscore here: ``_key``, ``_row``, ``_run_id`` and ``_runs``.
     """
     small_batches(docs.sparkSession)
     rows = _placed(docs, id_col)
     known = rows.where(F.col(KEY).isNotNull()).select(F.col(KEY).alias("doc_id"), F.col(text_col).alias("text"))
-    runs = repeated_windows(known, length).groupBy(F.col("doc_id").alias("run_id")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    runs = repeated_windows(known, length).groupBy(F.col("doc_id").alias("_run_id")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
 
     @F.pandas_udf("string")
     def rest(texts, runs):  # noqa: ANN001, ANN202
@@ -377,8 +398,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(np.frombuffer(data, np.uint8)[keep].tobytes().decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    joined = rows.join(runs, F.col(KEY) == F.col("run_id"), "left")
-    out = joined.select(*[F.when(F.col("runs").isNull(), F.col(text_col)).otherwise(rest(F.col(text_col), F.col("runs"))).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    joined = rows.join(runs, F.col(KEY) == F.col("_run_id"), "left")
+    out = joined.select(*[F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(rest(F.col(text_col), F.col("_runs"))).alias(c) if c == text_col else F.col(c) for c in docs.columns])
     if count_col and count_col in docs.columns:
         out = out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType))
     return out
