@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests in local mode), a temporary folder is set once and used.
+    Where the session has none, a temporary folder is set once and used, in local mode only: on a
+    cluster other machines would not see it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 

@@ -225,15 +225,20 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, less near copies: one row stays of each group of similar texts.
 
-    Texts are similar if their sets of word shingles have a Jaccard similarity of 0.8 or more; all
-    such pairs count, see :mod:`similar_sets`. Fingerprints of 64 bits cannot tell: at 0.8 they differ
-    in ten bits on average. The smallest id of a group stays, null ids last.
+    Texts are similar if their sets of word shingles have a Jaccard similarity of 0.8 or more. The components
+    that :func:`simhash_dedup` finds are the first candidates, each row with its component's first, and are
+    verified on whole sets. Fingerprints of 64 bits differ in ten bits on average at 0.8, so the pairs
+    that they miss are found by an exact join after that, see :mod:`similar_sets`: all pairs count. The
+    smallest id of a group stays, null ids last. Rows that repeat an id are told apart; columns may have
+    any names but ``_row``. An empty table gives an empty one.
     """
     from .similar_sets import similar_groups
 
     rows = numbered(docs, "near-rows")
-    groups = similar_groups(rows.select(F.col(ROW).alias("row"), F.col(text_col).alias("text")), words)
-    return without_others(rows, stage(groups, "similar-groups"), id_col)
+    texts = rows.select(F.col(ROW).alias("row"), F.col(text_col).alias("text"))
+    found = simhash_dedup(texts, "row", "text", words)
+    candidates = found.where("component_id <> doc_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    return without_others(rows, stage(similar_groups(texts, candidates, words), "similar-groups"), id_col)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,11 @@ have a shingle in common, so only these prefixes are exchanged. Any order gives
 shingles that are frequent in a sample come last, so that prefixes hold rare ones. Sizes and the
 places of the first common shingle rule out most pairs; the others are verified on whole sets.
 
-Large groups. One row of each bucket (a shingle in several prefixes) serves as its centre, the first
-in one of eight random orders, so a group has a few centres. Twice every row is held against those
-it meets most often, eight at most; the links found join most of a group.
-After that only members of different groups are compared, all of them, so no pair is left out that
-would join two groups.
+Large groups. Candidates from elsewhere (SimHash components, see :mod:`simhash_dedup`) are verified first and
+join most near copies. Then, in two turns, one row of each bucket (a shingle in several prefixes) of several
+groups serves as its centre, the first in one of eight random orders, so a group has a few centres; every
+row is held against those it meets most often, eight at most. After that only members of
+different groups are compared, all of them, so no pair is left out that would join two groups.
 """
 
 from __future__ import annotations
@@ -116,29 +116,29 @@ def _most_met(met: DataFrame) -> DataFrame:
     return often.withColumn("rank", place).where(F.col("rank") <= CENTRES).select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))
 
 
-def _mixed(met: DataFrame, groups: DataFrame) -> DataFrame:
+def _mixed(met: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
     """Members, with their group's root, of the buckets that hold several groups."""
     rooted = met.select("h", "row", "place", "n").join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    several = rooted.withColumns({"least": _centre(1, "root"), "mixed": F.expr("min(root) over (partition by h) <> max(root) over (partition by h)")}).where("mixed")
+    several = rooted.withColumns({"least": _centre(turn, "root"), "mixed": F.expr("min(root) over (partition by h) <> max(root) over (partition by h)")}).where("mixed")
     return stage(several.drop("mixed"), "several")
 
 
-def similar_groups(rows: DataFrame, words: int = 5) -> DataFrame:
+def similar_groups(rows: DataFrame, candidates: DataFrame, words: int = 5) -> DataFrame:
     """Groups joined by pairs that are similar enough: node, root, for every row that is in such a pair.
 
-    ``rows`` has row (a unique long) and text, and gives the same rows whenever it is read. Shingles
-    stand for themselves by 64-bit hashes.
+    ``rows`` has row (a unique long) and text, and gives the same rows whenever it is read; ``candidates``
+    (a, b) are pairs of rows to verify first, any or none. Shingles stand for themselves by 64-bit hashes.
     """
     small_batches(rows.sparkSession)
     entries = rows.mapInArrow(_prefixes(words, frequent_shingles(rows, words)), "h long, row long, place int, n int")
-    met = stage(entries.withColumns({"size": F.expr("count(*) over (partition by h)"), "least": _centre(0)}).where("size > 1"), "shared")
+    several = stage(entries.withColumn("size", F.expr("count(*) over (partition by h)")).where("size > 1").drop("size"), "shared")
+    links = _verified(rows, candidates, words)
     near = _possible(F.col("n"), F.col("place"), F.col("least.n"), F.col("least.place"))
-    star = met.where((F.col("row") != F.col("least.row")) & near).select("row", F.col("least.row").alias("other"))
-    links = _verified(rows, _most_met(star), words)
-    several = _mixed(met, stage(connected_components(links), "groups"))
-    star = several.where((F.col("root") != F.col("least.root")) & near).select("row", F.col("least.row").alias("other"))
-    links = links.union(_verified(rows, _most_met(star), words))
-    several = _mixed(several, stage(connected_components(links), "groups"))
+    for turn in range(2):
+        several = _mixed(several, stage(connected_components(links), "groups"), turn)
+        star = several.where((F.col("root") != F.col("least.root")) & near).select("row", F.col("least.row").alias("other"))
+        links = links.union(_verified(rows, _most_met(star), words))
+    several = _mixed(several, stage(connected_components(links), "groups"), 2)
     l, r = several.alias("l"), several.alias("r")
     across = l.join(r, F.col("l.h") == F.col("r.h")).where((F.col("l.root") < F.col("r.root")) & _possible(F.col("l.n"), F.col("l.place"), F.col("r.n"), F.col("r.place")))
     links = links.union(_verified(rows, across.select(F.col("l.row").alias("a"), F.col("r.row").alias("b")), words))
