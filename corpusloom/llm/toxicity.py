@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from .common import crc_fold, small_batches, stage, utf8
 GRAMS = (4, 6)
 BUCKETS = 1 << 20
 SAMPLE = 16_000
-#: A feature's count must stray from chance by so much (one in two thousand or so); so many are kept anyhow.
-STRAY, FEATURES_AT_LEAST = 12.0, 64
+#: A feature's count must stray from chance so far (one in ten thousand does so by chance); so many are kept anyhow.
+STRAY, FEATURES_AT_LEAST = 15.0, 64
 THRESHOLD = 0.3
 #: Log-odds of every text where there is nothing to learn from.
 NOTHING_LEARNED = -20.0
@@ -71,20 +72,17 @@ def _presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"bucket": at, "negative": counts[0, at].astype(np.int64), "positive": counts[1, at].astype(np.int64)})
 
 
-def _solve(rows: list[np.ndarray], values: np.ndarray, labels: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam on sparse rows of feature numbers; each feature has one value."""
-    n = len(rows)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    val = values[col]
+def _solve(row: np.ndarray, col: np.ndarray, values: np.ndarray, labels: np.ndarray, rounds: int = 120, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam on sparse rows: text ``row[k]`` has feature ``col[k]``; each feature has one value."""
+    n = len(labels)
     w = np.zeros(len(values) + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     w[:-1] = 0.05
     w[-1] = np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5))
     for k in range(1, rounds + 1):
-        z = np.bincount(row, val * w[col], minlength=n) + w[-1]
+        z = np.bincount(row, (values * w[:-1])[col], minlength=n) + w[-1]
         off = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
-        g = np.append(np.bincount(col, val * off[row], minlength=len(values)) / n + ridge * w[:-1], off.mean())
+        g = np.append(values * np.bincount(col, off[row], minlength=len(values)) / n + ridge * w[:-1], off.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -130,8 +128,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             out.append(np.unique(at[at >= 0]).tolist())
         return pd.Series(out, dtype=object)
 
-    got = rows.select(features("text").alias("x"), "label").collect()
-    w, bias = _solve([np.array(r["x"], np.int64) for r in got], ratio, np.array([r["label"] for r in got], np.float64))
+    got = rows.select(features("text").alias("x"), "label").toArrow().combine_chunks()
+    x = got.column("x").combine_chunks()
+    x = x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks)
+    sizes = np.diff(x.offsets.to_numpy())
+    w, bias = _solve(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), x.flatten().to_numpy(), ratio, got.column("label").to_numpy().astype(np.float64))
     weight[[r["bucket"] for r in best]] = ratio * w
     return Model(weight, bias)
 
