@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 
-def _stars(pairs: DataFrame, keep: F.Column) -> DataFrame:
-    """Link every neighbour that satisfies ``keep`` to the smallest of its centre's neighbourhood."""
+def _stars(pairs: DataFrame, keep: F.Column) -> tuple[DataFrame, DataFrame]:
+    """Link every neighbour that satisfies ``keep`` to the smallest of its centre's neighbourhood; also the table of these."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
     least = least.select("u", F.least("u", "m").alias("m"))
     least = stage(least, "least")  # so that both sides of the join are plain exchanges, which Spark can split at a hub
-    return pairs.join(least, "u").where(keep)
+    return pairs.join(least, "u").where(keep), least
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -33,11 +33,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both, F.expr("v > u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stage(large, "large")
-        star = _stars(large, F.lit(True))
+        star, least = _stars(both, F.expr("v > u"))
+        large = stage(star.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        discard(edges, least)
+        star, least = _stars(large, F.lit(True))
         star = star.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = stage(star.select("e.u", "e.v").where("u <> v").distinct(), "stars")
+        discard(large, least)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == before:
             break

@@ -4,13 +4,14 @@ Prefix filter. Shingles have one global order. Two sets of n and m shingles are
 only if the first n - ceil(0.8 n) + 1 of the one and the first m - ceil(0.8 m) + 1 of the other
 have a shingle in common, so only these prefixes are exchanged. Any order gives the same pairs;
 shingles that are frequent in a sample come last, so that prefixes hold rare ones. Sizes and the
-places of the first common shingle rule out most pairs; the others are verified on whole sets.
+places of the first common shingle rule out most pairs, and bitmaps of whole sets most of the rest; the
+others are verified on whole sets.
 
 Large groups. Candidates from elsewhere (SimHash components, see :mod:`simhash_dedup`) are verified first and
-join most near copies. Then, in two turns, one row of each bucket (a shingle in several prefixes) of several
-groups serves as its centre, the first in one of eight random orders, so a group has a few centres; every
-row is held against those it meets most often, eight at most. After that only members of
-different groups are compared, all of them, so no pair is left out that would join two groups.
+join most near copies. Then one row of each bucket (a shingle in several prefixes) of several groups
+serves as its centre, the first in one of eight random orders, so a group has a few centres; every row is
+held against those it meets most often, eight at most. After that only members of different groups are
+compared, all of them, so no pair is left out that would join two groups.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import discard, small_batches, stage
 from .components import connected_components
 from .simhash_dedup import shingle_hashes
 
@@ -30,8 +31,10 @@ from .simhash_dedup import shingle_hashes
 PART, WHOLE = 4, 5
 #: Rows whose shingles are counted for the order, about, and frequent shingles that it puts last, at most.
 SAMPLE, FREQUENT = 10_000, 20_000
-#: Centres that a row is held against in each of two turns, before all pairs across groups.
+#: Centres that a row is held against before all pairs across groups.
 CENTRES = 8
+#: Longs of a set's bitmap.
+LONGS = 8
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -100,7 +103,33 @@ def _verified(rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     sets = stage(rows.join(asked, "row", "left_semi").select("row", of("text").alias("set")), "sets")
     left, right = (sets.select(F.col("row").alias(x), F.col("set").alias(f"{x}_set")) for x in "ab")
     common = F.size(F.array_intersect("a_set", "b_set"))
-    return stage(pairs.join(left, "a").join(right, "b").where(common * (PART + WHOLE) >= (F.size("a_set") + F.size("b_set")) * PART).select("a", "b"), "similar")
+    found = stage(pairs.join(left, "a").join(right, "b").where(common * (PART + WHOLE) >= (F.size("a_set") + F.size("b_set")) * PART).select("a", "b"), "similar")
+    discard(pairs, sets)
+    return found
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 * LONGS bits whether an odd number of the set's shingles fall on it; two sets differ in at least as many shingles as their bitmaps in bits."""
+    odd = np.bincount((shingles >> np.uint64(64 - (64 * LONGS - 1).bit_length())).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _bitmaps(rows: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """row and bits of the rows that ``asked`` names."""
+
+    @F.pandas_udf("array<long>")
+    def of(texts):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series([bitmap(shingle_set(t, words)) for t in texts], dtype=object)
+
+    return stage(rows.join(asked.select("row").distinct(), "row", "left_semi").select("row", of("text").alias("bits")), "bitmaps")
+
+
+def _close(n: Column, x: Column, m: Column, y: Column) -> Column:
+    """Whether the bitmaps x and y of sets of n and m shingles allow the similarity."""
+    differ = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(LONGS)), F.lit(0))
+    return differ * (PART + WHOLE) <= (n + m) * (WHOLE - PART)
 
 
 def _centre(turn: int, *more: str) -> Column:
@@ -116,10 +145,10 @@ def _most_met(met: DataFrame) -> DataFrame:
     return often.withColumn("rank", place).where(F.col("rank") <= CENTRES).select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))
 
 
-def _mixed(met: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+def _mixed(met: DataFrame, groups: DataFrame) -> DataFrame:
     """Members, with their group's root, of the buckets that hold several groups."""
     rooted = met.select("h", "row", "place", "n").join(groups.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    several = rooted.withColumns({"least": _centre(turn, "root"), "mixed": F.expr("min(root) over (partition by h) <> max(root) over (partition by h)")}).where("mixed")
+    several = rooted.withColumn("mixed", F.expr("min(root) over (partition by h) <> max(root) over (partition by h)")).where("mixed")
     return stage(several.drop("mixed"), "several")
 
 
@@ -131,15 +160,18 @@ def similar_groups(rows: DataFrame, candidates: DataFrame, words: int = 5) -> Da
     """
     small_batches(rows.sparkSession)
     entries = rows.mapInArrow(_prefixes(words, frequent_shingles(rows, words)), "h long, row long, place int, n int")
-    several = stage(entries.withColumn("size", F.expr("count(*) over (partition by h)")).where("size > 1").drop("size"), "shared")
+    met = stage(entries.withColumn("size", F.expr("count(*) over (partition by h)")).where("size > 1").drop("size"), "shared")
     links = _verified(rows, candidates, words)
+    several = _mixed(met, stage(connected_components(links), "groups"))
+    discard(met)
     near = _possible(F.col("n"), F.col("place"), F.col("least.n"), F.col("least.place"))
-    for turn in range(2):
-        several = _mixed(several, stage(connected_components(links), "groups"), turn)
-        star = several.where((F.col("root") != F.col("least.root")) & near).select("row", F.col("least.row").alias("other"))
-        links = links.union(_verified(rows, _most_met(star), words))
-    several = _mixed(several, stage(connected_components(links), "groups"), 2)
-    l, r = several.alias("l"), several.alias("r")
-    across = l.join(r, F.col("l.h") == F.col("r.h")).where((F.col("l.root") < F.col("r.root")) & _possible(F.col("l.n"), F.col("l.place"), F.col("r.n"), F.col("r.place")))
+    star = several.withColumn("least", _centre(0, "root")).where((F.col("root") != F.col("least.root")) & near).select("row", F.col("least.row").alias("other"))
+    links = links.union(_verified(rows, _most_met(star), words))
+    last = _mixed(several, stage(connected_components(links), "groups"))
+    discard(several)
+    last = last.join(_bitmaps(rows, last, words), "row")
+    l, r = last.alias("l"), last.alias("r")
+    possible = _possible(F.col("l.n"), F.col("l.place"), F.col("r.n"), F.col("r.place")) & _close(F.col("l.n"), F.col("l.bits"), F.col("r.n"), F.col("r.bits"))
+    across = l.join(r, F.col("l.h") == F.col("r.h")).where((F.col("l.root") < F.col("r.root")) & possible)
     links = links.union(_verified(rows, across.select(F.col("l.row").alias("a"), F.col("r.row").alias("b")), words))
     return connected_components(links)
