@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters shown on either side of a hit, and digits to which numbers are padded in sort keys.
-MARGIN = 40
-PAD = 12
+MARGIN = 80
+PAD = 40
 
 
 def natural_key(id_: Column) -> Column:
@@ -31,7 +31,7 @@ def snippet(text: Column, needle: str, margin: int = MARGIN) -> Column:
     begin = F.greatest(at - margin, F.lit(1))
     end = F.least(at + len(needle) + margin, F.length(text) + 1)
     body = F.trim(F.regexp_replace(F.substr(text, begin, end - begin), "[ \t\n]+", " "))
-    return F.concat(F.when(begin > 1, "...").otherwise(""), body, F.when(end <= F.length(text), "...").otherwise(""))
+    return F.concat(F.when(begin > 1, "…").otherwise(""), body, F.when(end <= F.length(text), "…").otherwise(""))
 
 
 def snippet_sql(text: str, needle: str, margin: int = MARGIN) -> str:
@@ -39,4 +39,4 @@ def snippet_sql(text: str, needle: str, margin: int = MARGIN) -> str:
     begin = f"greatest({at} - {margin}, 1)"
     end = f"least({at} + {len(needle) + margin}, length({text}) + 1)"
     body = f"trim(regexp_replace(substr({text}, {begin}, {end} - {begin}), '[ \\t\\n]+', ' ', 'g'))"
-    return f"(CASE WHEN {begin} > 1 THEN '...' ELSE '' END || {body} || CASE WHEN {end} <= length({text}) THEN '...' ELSE '' END)"
+    return f"(CASE WHEN {begin} > 1 THEN '…' ELSE '' END || {body} || CASE WHEN {end} <= length({text}) THEN '…' ELSE '' END)"

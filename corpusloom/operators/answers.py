@@ -22,10 +22,10 @@ MESSAGES = (
 
 
 def sentences(body: Column) -> Column:
-    """Sentences of a text with what stands in double quotes blanked to its length."""
-    quoted = F.regexp_extract_all(body, F.lit('"[^"\n]*"'), F.lit(0))
-    blank = F.aggregate(quoted, body, lambda t, q: F.replace(t, q, F.repeat(F.lit(" "), F.length(q))))
-    return F.filter(F.split(blank, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
+    """Sentences of a text without its fenced code and its quoted lines, those that begin with ``>``."""
+    plain = F.regexp_replace(body, r"(?s)```.*?(?:```|$)", "\n")
+    plain = F.regexp_replace(plain, r"(?m)^[ \t]*>[^\n]*", "")
+    return F.filter(F.split(plain, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s) != "")
 
 
 def claims(body: Column) -> Column:

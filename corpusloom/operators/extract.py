@@ -60,7 +60,7 @@ def preview(text: Column, limit: int = 180, back: int = 40) -> Column:
     head = F.left(flat, F.lit(limit))
     space = limit - F.instr(F.reverse(head), " ")
     cut = F.when(space >= limit - back, F.left(head, space)).otherwise(head)
-    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(cut, F.lit("...")))
+    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(cut, F.lit("…")))
 
 
 def roman(n: Column) -> Column:

@@ -14,7 +14,7 @@ TERMINAL = ("enacted", "vetoed", "withdrawn", "failed")
 #: Status texts, the first that matches wins.
 STATUS_RULES = (
     (r"awaiting\s+(the\s+)?mayor", "enrolled"),
-    (r"veto(ed)?|veto\s+sustained", "vetoed"),
+    (r"vetoed?|veto\s+sustained", "vetoed"),
     (r"withdrawn|rescinded", "withdrawn"),
     (r"failed|defeated|tabled", "failed"),
     (r"signed\s+by\s+(the\s+)?mayor|mayor['’]?s?\s+signature|effective|enacted|approved\s+by\s+(the\s+)?mayor", "enacted"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import natural_key, natural_key_sql
+from corpusloom.functions.text import PAD, natural_key, natural_key_sql
 from corpusloom.operators import ordering
 from corpusloom.operators import outcomes as O
 from corpusloom.plans.registry import Registry
@@ -28,12 +28,14 @@ def bill_parse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.outcome_summary(bridge.outcomes(spark, sf_dir), "file_no")
 
 
-@query(f"""WITH {SECTIONS_SQL} SELECT module_id, article_id, first(title ORDER BY doc_id) AS title, count(*) AS n_sections, string_agg(section_id, ',' ORDER BY {natural_key_sql("section_id")}, section_id) AS section_ids FROM sections GROUP BY 1, 2""")
+@query(f"""WITH {SECTIONS_SQL} SELECT module_id, article_id, first_value(title) OVER (PARTITION BY module_id, article_id ORDER BY doc_id) AS title, count(*) OVER (PARTITION BY module_id, article_id) AS n_sections,
+row_number() OVER (PARTITION BY module_id, article_id ORDER BY {natural_key_sql("section_id")}, section_id) AS place, section_id FROM sections""")
 def article_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with their first title and their sections in natural order."""
-    s = bridge.sections(spark, sf_dir)
-    ids = F.transform(F.array_sort(F.collect_list(F.struct(natural_key(F.col("section_id")).alias("k"), "section_id"))), lambda x: x["section_id"])
-    return s.groupBy("module_id", "article_id").agg(F.min_by("title", "doc_id").alias("title"), F.count("*").alias("n_sections"), F.array_join(ids, ",").alias("section_ids"))
+    """Articles with their first title, one row per section with its place in natural order."""
+    s = bridge.sections(spark, sf_dir).withColumn("group", F.concat_ws("/", "module_id", "article_id"))
+    heads = s.groupBy("group").agg(F.min_by("title", "doc_id").alias("title"), F.count("*").alias("n_sections"))
+    rows = ordering.places(s.select("group", "module_id", "article_id", "section_id"), "group", natural_key(F.col("section_id")), "section_id", PAD)
+    return rows.join(heads, "group").select("module_id", "article_id", "title", "n_sections", "place", "section_id")
 
 
 @query("""SELECT lang AS term, source AS module_id, count(*) AS n_occurrences, string_agg(DISTINCT CAST(doc_id % 7 AS VARCHAR), ',' ORDER BY CAST(doc_id % 7 AS VARCHAR)) AS definers FROM documents GROUP BY 1, 2""")

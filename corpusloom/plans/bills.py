@@ -106,10 +106,11 @@ def status_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.history_audit(history, F.when(F.col("action") == "purchase", "enacted").when(F.col("action") == "error", "failed"))
 
 
-@query("""SELECT doc_id, 2 AS n_labels, '(a)|(b)(1)' AS labels FROM documents""")
+@query(r"""WITH l AS (SELECT doc_id, regexp_extract_all('(a) Text ' || text || chr(10) || '(b)(1) Next (c) Not one' || chr(10) || ' (' || doc_id || ') Last', '(?:^|\n)\s*((?:\([A-Za-z0-9]+\))+)\s+[A-Z]', 1) AS l FROM documents)
+SELECT doc_id, CAST(len(l) AS INTEGER) AS n_labels, array_to_string(l, '|') AS labels FROM l""")
 def subsection_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels at the starts of lines, of texts that are put in two subsections."""
-    text = F.concat(F.lit("(a) Text "), F.translate(F.left("text", F.lit(20)), "\n()", "   "), F.lit("\n(b)(1) Next (c) Not one"))
+    """Labels at the starts of lines, of whole texts that are put in subsections."""
+    text = F.concat(F.lit("(a) Text "), F.col("text"), F.lit("\n(b)(1) Next (c) Not one\n ("), F.col("doc_id").cast("string"), F.lit(") Last"))
     return table(spark, sf_dir, "documents").select("doc_id", S.labels(text).alias("l")).select("doc_id", F.size("l").alias("n_labels"), F.array_join("l", "|").alias("labels"))
 
 

@@ -56,18 +56,18 @@ def pretty_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", mapped(H.title_case, raw).alias("title"))
 
 
-@query("""WITH n AS (SELECT page_id, CAST(page_id % 300 AS VARCHAR) AS anchor FROM pages), t AS (SELECT CAST(doc_id AS VARCHAR) AS anchor, source FROM documents WHERE doc_id < 200)
+@query("""WITH n AS (SELECT page_id, CAST(page_id * 7 AS VARCHAR) AS anchor FROM pages), t AS (SELECT CAST(doc_id AS VARCHAR) AS anchor, source FROM documents)
 SELECT page_id, anchor, source AS target FROM n LEFT JOIN t USING (anchor)""")
 def code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links joined to the anchors that they name; unknown targets stay as warnings."""
-    links = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/codes/latest#JD_"), (F.col("page_id") % 300).cast("string")).alias("link"))
-    anchors = table(spark, sf_dir, "documents").where("doc_id < 200").select(F.col("doc_id").cast("string").alias("anchor"), F.col("source").alias("target"))
+    links = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/codes/latest#JD_"), (F.col("page_id") * 7).cast("string")).alias("link"))
+    anchors = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("anchor"), F.col("source").alias("target"))
     return H.link_edges(links, anchors).select("page_id", "anchor", "target")
 
 
-@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '1234:src1:5.1' WHEN 1 THEN '' WHEN 2 THEN '' ELSE '99999:src2:7,99999:src3:8' END AS claims FROM conversations WHERE role = 'assistant'""")
+@query("""SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '1234:src1:5.1' WHEN 3 THEN '99999:src2:7,99999:src3:8' WHEN 4 THEN '77' || turn || ':src4:9' ELSE '' END AS claims FROM conversations WHERE role = 'assistant'""")
 def bill_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What answers say that bills change, less what they deny or quote."""
-    body = "CASE turn % 4 WHEN 0 THEN 'So [Bill #1234] amends [src1 § 5.1]. It [Bill #1234] amends [src1 § 5.1].' WHEN 1 THEN 'But [Bill #1234] does not amend [src1 § 5.1].' WHEN 2 THEN 'They wrote \"[Bill #1234] amends [src1 § 5.1]\" here.' ELSE 'First.\n[Bill #99999] repeals [src2 § 7] and [src3 § 8].' END"
+    """What answers say that bills change, less what they deny, fence off or quote in lines with >."""
+    body = "CASE turn % 5 WHEN 0 THEN 'So [Bill #1234] amends [src1 § 5.1]. It [Bill #1234] amends [src1 § 5.1].' WHEN 1 THEN 'But [Bill #1234] does not amend [src1 § 5.1].' WHEN 2 THEN 'See:\n> [Bill #1234] amends [src1 § 5.1].\n```\n[Bill #1234] repeals [src1 § 5.1].\n```\nDone.' WHEN 3 THEN 'First.\n[Bill #99999] repeals [src2 § 7] and [src3 § 8].' ELSE concat('It reads \"[Bill #77', turn, '] adds [src4 § 9]\" there.') END"
     a = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", A.claims(F.expr(body)).alias("c"))
     return a.select("conv_id", "turn", F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["file_no"], x["module_id"], x["section_id"])), ",").alias("claims"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import PAD, natural_key, natural_key_sql
@@ -38,9 +38,9 @@ def ancestor_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SECTIONS_SQL} SELECT doc_id, row_number() OVER (PARTITION BY module_id, article_id ORDER BY doc_id) AS position, count(*) OVER (PARTITION BY module_id, article_id) AS set_size FROM sections WHERE editorial_status = 'active'""")
 def sibling_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position and number of the visible siblings of each section."""
-    w = Window.partitionBy("module_id", "article_id")
-    s = bridge.sections(spark, sf_dir).where("editorial_status = 'active'")
-    return s.select("doc_id", F.row_number().over(w.orderBy("doc_id")).cast("long").alias("position"), F.count("*").over(w).alias("set_size"))
+    s = bridge.sections(spark, sf_dir).where("editorial_status = 'active'").withColumn("group", F.concat_ws("/", "module_id", "article_id"))
+    rows = ordering.places(s.select("group", "doc_id"), "group", F.lpad(F.col("doc_id").cast("string"), 19, "0"), "doc_id", 16, "position")
+    return rows.join(s.groupBy("group").agg(F.count("*").alias("set_size")), "group").select("doc_id", "position", "set_size")
 
 
 @query("""WITH r AS (SELECT event_id, user_id, event_type, CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS depth FROM events)
@@ -139,9 +139,25 @@ def rewritten_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted.join(table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k")), "k", "left_semi").distinct()
 
 
-@query("""SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n <= 6 OR back <= 4""")
+def window_start(sizes: Column, high: int = 30, low: int = 20) -> Column:
+    """How many whole turns have left the view: when the messages in it pass ``high``, the oldest turns go until there are ``low`` or fewer; the newest stays."""
+    ends = F.transform(F.sequence(F.lit(1), F.size(sizes)), lambda k: F.aggregate(F.slice(sizes, 1, k), F.lit(0).cast("long"), lambda a, n: a + n))
+    ends = F.when(F.size(sizes) > 0, ends).otherwise(F.array().cast("array<long>"))
+
+    def step(start: Column, k: Column) -> Column:
+        count = lambda s: F.element_at(ends, k + 1) - F.when(s > 0, F.element_at(ends, s)).otherwise(0)
+        first = F.filter(F.sequence(start, k), lambda s: count(s) <= low)
+        return F.when(count(start) > high, F.when(F.size(first) > 0, F.array_min(first)).otherwise(k)).otherwise(start)
+
+    return F.when(F.size(sizes) > 0, F.aggregate(F.sequence(F.lit(0), F.size(sizes) - 1), F.lit(0), step)).otherwise(0)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, turn FROM t WHERE n <= 4 OR back <= 2 + (n - 5) % 3""")
 def conversation_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns that stay in view: all while there are few, the last ones once there are more (limits 6 and 4 here)."""
-    w = Window.partitionBy("conv_id")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(w.orderBy(F.desc("turn"))).alias("back"), F.count("*").over(w).alias("n"))
-    return c.where("n <= 6 or back <= 4").select("conv_id", "turn")
+    """The turns that stay in view, each a message here: above 4 the oldest leave until 2 are left (limits 30 and 20 by default)."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.count("*").alias("n"))
+    c = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "n"))).alias("turns"))
+    kept = F.slice("turns", window_start(F.transform("turns", lambda t: t["n"]), 4, 2) + 1, F.size("turns"))
+    return c.select("conv_id", F.explode(kept).alias("t")).select("conv_id", "t.turn")
+

@@ -54,7 +54,7 @@ def definition_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n]+', ' ', 'g')) AS flat FROM documents), h AS (SELECT *, left(flat, 180) AS head FROM f), s AS (SELECT *, 180 - strpos(reverse(head), ' ') AS space FROM h)
-SELECT doc_id, CASE WHEN length(flat) <= 180 THEN flat ELSE CASE WHEN space >= 140 THEN left(head, space) ELSE head END || '...' END AS preview FROM s""")
+SELECT doc_id, CASE WHEN length(flat) <= 180 THEN flat ELSE CASE WHEN space >= 140 THEN left(head, space) ELSE head END || '…' END AS preview FROM s""")
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"))
 
@@ -79,8 +79,6 @@ def tiling_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id").join(flat, "doc_id", "left").select("doc_id", F.coalesce("flattened", F.lit("")).alias("flattened"))
 
 
-_ALTERNATIVES = "|".join(sorted(GLOSSARY, key=lambda t: (-len(t), t)))
-
 
 @query(f"""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?:^|[^0-9A-Za-z_])(the|of)', 0)) AS INTEGER) AS n FROM documents WHERE len(regexp_extract_all(text, '(?:^|[^0-9A-Za-z_])(the|of)', 0)) > 0""")
 def term_starts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,3 +256,31 @@ def test_harvest(spark):
     calls = [(1, "/bills/25/impact", True), (1, "bills/25", False), (1, "/modules/m/sections/1.A", False), (1, "/modules/m", True), (2, None, True)]
     got = answers.harvested(spark.createDataFrame(calls, "turn_id int, path string, ok boolean")).collect()
     assert {(r["turn_id"], r["kind"], r["module_id"], r["key"], r["fetched"]) for r in got} == {(1, "bill", None, "25", True), (1, "section", "m", "1.a", False)}
+
+
+def test_diffs_keep_what_thousands_of_changes_share():
+    a = [x for k in range(2_100) for x in (f"s{k}", " ", f"a{k}", " ")]
+    b = [x for k in range(2_100) for x in (f"s{k}", " ", f"b{k}", " ")]
+    runs = diff.edit_script(a, b)
+    assert "".join(t for o, t in runs if o != "insert") == "".join(a) and "".join(t for o, t in runs if o != "delete") == "".join(b)
+    kept = "".join(t for o, t in runs if o == "equal").split()
+    assert kept == [f"s{k}" for k in range(2_100)]
+
+
+def test_window_of_whole_turns(spark):
+    from corpusloom.plans.ordered import window_start
+
+    def plain(sizes, high, low):
+        start = count = 0
+        for k, n in enumerate(sizes):
+            count += n
+            if count > high:
+                while start < k and count > low:
+                    count -= sizes[start]
+                    start += 1
+        return start
+
+    cases = [[], [40], [2] * 15, [2] * 16, [10, 25, 1], [1, 40, 1, 1], [2] * 40, [31, 31], [7, 9, 3, 12, 5, 8, 30, 2]]
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, sizes array<long>")
+    got = {r["k"]: r["s"] for r in rows.select("k", window_start(F.col("sizes")).alias("s")).collect()}
+    assert got == {k: plain(c, 30, 20) for k, c in enumerate(cases)}
