@@ -40,3 +40,18 @@ def snippet_sql(text: str, needle: str, margin: int = MARGIN) -> str:
     end = f"least({at} + {len(needle) + margin}, length({text}) + 1)"
     body = f"trim(regexp_replace(substr({text}, {begin}, {end} - {begin}), '[ \\t\\n]+', ' ', 'g'))"
     return f"(CASE WHEN {begin} > 1 THEN '…' ELSE '' END || {body} || CASE WHEN {end} <= length({text}) THEN '…' ELSE '' END)"
+
+
+def normal_term(term: Column) -> Column:
+    """A term as it is looked up: trimmed, in lower case, white space collapsed."""
+    return F.lower(F.trim(F.regexp_replace(term, r"\s+", " ")))
+
+
+def canonical_number(number: Column) -> Column:
+    """A section number as it is compared: in lower case, without section signs and spaces."""
+    return F.regexp_replace(F.lower(number), r"[§\s]", "")
+
+
+def root_label(jurisdiction: Column) -> Column:
+    """A jurisdiction's short name."""
+    return F.regexp_replace(jurisdiction, "^City and County of ", "")

@@ -11,13 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import natural_key
+from corpusloom.functions.text import canonical_number, natural_key, normal_term, root_label
 from corpusloom.operators import outcomes as O
 from corpusloom.operators.references import first_seen
 from corpusloom.plans.registry import Registry
+from corpusloom.plans import texts
 from corpusloom.plans.search import search
 from corpusloom.sources import bridge
-from corpusloom.sources.bridge import CITATIONS_SQL, OUTCOMES_SQL, SECTIONS_SQL
+from corpusloom.sources.bridge import CITATIONS_SQL, OUTCOMES_SQL, SECTIONS_SQL, table
 
 _registry = Registry()
 query, QUERIES, SQL = _registry.query, _registry.queries, _registry.sql
@@ -26,6 +27,10 @@ query, QUERIES, SQL = _registry.query, _registry.queries, _registry.sql
 LIST_CAP, HIT_CAP, PATH_LENGTH, QUERY_LENGTH = 50, 25, 512, 200
 
 
+#: Years that a path may name.
+YEARS = (1900, 2200)
+
+
 class NotFound(LookupError):
     """No such path."""
 
@@ -36,17 +41,31 @@ class BadInput(ValueError):
 
 @dataclass
 class Corpus:
-    """The tables that paths lead to: sections, citations, bills (with status), outcomes."""
+    """The tables that paths lead to: sections, citations, bills (with status), outcomes, ordinances that sections name, definitions."""
 
     sections: DataFrame
     citations: DataFrame
     bills: DataFrame
     outcomes: DataFrame
+    ordinances: DataFrame
+    definitions: DataFrame
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Corpus:
         bills = bridge.bills(spark, sf_dir).withColumn("status", O.bill_status(F.col("status_text")))
-        return cls(bridge.sections(spark, sf_dir), bridge.citations(spark, sf_dir), bills, bridge.outcomes(spark, sf_dir))
+        sections = bridge.sections(spark, sf_dir)
+        definitions = sections.select("module_id", "section_id", "doc_id", normal_term("title").alias("term"))
+        return cls(sections, bridge.citations(spark, sf_dir), bills, bridge.outcomes(spark, sf_dir), texts.ordinances(spark, sf_dir), definitions)
+
+    def recent_ordinances(self, module: str | None = None, year: int | None = None, limit: int | None = None) -> DataFrame:
+        """Ordinances, newest first: by the first known date (unknown ones last), then year, then number; each with how many sections name it."""
+        rows = self.ordinances
+        rows = rows if module is None else rows.where(F.col("source") == module)
+        rows = rows if year is None else rows.where(F.col("year") == year)
+        known = F.min_by("approved", F.when(F.col("approved").isNotNull(), F.col("doc_id"))).alias("approved_at")
+        rows = rows.groupBy("number").agg(F.min("year").alias("year"), known, F.count("*").alias("n_cited_in"))
+        order = (F.desc_nulls_last("approved_at"), F.desc("year"), F.desc(F.split_part("number", F.lit("-"), F.lit(1)).cast("long")), "number")
+        return rows.orderBy(*order) if limit is None else self._listed(rows, *order, cap=limit)
 
     def _listed(self, rows: DataFrame, *order, cap: int = LIST_CAP) -> DataFrame:
         total = rows.agg(F.count("*").alias("total"))
@@ -64,11 +83,16 @@ class Corpus:
                 roots = [(r,) for r in ("bills", "definitions", "modules", "ordinances")]
                 return self.sections.sparkSession.createDataFrame(roots, "name string")
             case ["bills"]:
-                return self._listed(self.bills.select("file_no", "sponsor", "status", "introduced"), F.desc_nulls_last("introduced"), "file_no")
+                listed = self._listed(self.bills.select("file_no", "sponsor", "status", "introduced"), F.desc_nulls_last("introduced"), "file_no")
+                counts = self.outcomes.join(listed.select("file_no"), "file_no", "left_semi").groupBy("file_no").agg(F.count("*").alias("n_outcomes"), F.count_if(F.col("status") == "anchored").alias("n_anchored"))
+                return listed.join(counts, "file_no", "left").orderBy(F.desc_nulls_last("introduced"), "file_no")
             case ["bills", file_no] if file_no.isdigit():
                 return self.bills.where(F.col("file_no") == int(file_no))
             case ["bills", file_no, "changes"] if file_no.isdigit():
                 return self.outcomes.where(F.col("file_no") == int(file_no)).orderBy("position", "section_id")
+            case ["bills", file_no, "changes", module, section] if file_no.isdigit():
+                one = self._section(module, section).select(F.col("doc_id").alias("section_id"), "module_id", "title", F.col("text").alias("baseline"))
+                return self.outcomes.where(F.col("file_no") == int(file_no)).join(one, "section_id").orderBy("position")
             case ["bills", file_no, "impact"] if file_no.isdigit():
                 rows = self.outcomes.where(F.col("file_no") == int(file_no)).withColumn("kind", O.change_kind(F.col("status")))
                 order = F.array_position(F.array(*map(F.lit, ("added", "revised", "referenced_no_change", "unclear"))), F.col("kind"))
@@ -83,6 +107,24 @@ class Corpus:
                 return self.sections.where((F.col("module_id") == module) & (F.lower("article_id") == article.lower())).orderBy(natural_key(F.col("section_id")), "section_id")
             case ["modules", module, "sections", section]:
                 return self._section(module, section)
+            case ["modules", module, "sections", section, "references"]:
+                one = self._section(module, section).select(F.col("doc_id").alias("citing_id"))
+                return self.citations.join(one, "citing_id", "left_semi").select("citation_index", "cited_id", "target_kind").orderBy("citation_index", "cited_id")
+            case ["modules", module, "sections", section, "history"]:
+                one = self._section(module, section).select("doc_id")
+                return self.ordinances.join(one, "doc_id", "left_semi").select("number", "year", "file", "approved").orderBy(F.desc_nulls_last("approved"), "number")
+            case ["modules", module, "definitions", *term] if term:
+                return self.definitions.where((F.col("module_id") == module) & (F.col("term") == normal_term(F.lit(" ".join(term))))).orderBy("doc_id")
+            case ["definitions", *term] if term:
+                return self.definitions.where(F.col("term") == normal_term(F.lit(" ".join(term)))).orderBy("module_id", "doc_id")
+            case ["definitions"]:
+                return self._listed(self.definitions.groupBy("term").agg(F.count("*").alias("n")), "term")
+            case ["ordinances"]:
+                return self.recent_ordinances(limit=LIST_CAP)
+            case ["ordinances", year]:
+                if not year.isdigit() or not YEARS[0] <= int(year) <= YEARS[1]:
+                    raise BadInput(f"a year lies between {YEARS[0]} and {YEARS[1]}")
+                return self.recent_ordinances(year=int(year), limit=LIST_CAP)
             case ["modules", module, "sections", section, "cited-by"]:
                 one = self._section(module, section).select(F.col("doc_id").alias("cited_id"))
                 return self.citations.join(one, "cited_id", "left_semi").select("citing_id").distinct().orderBy("citing_id")
@@ -103,6 +145,11 @@ class Corpus:
         return search(self.sections, text, HIT_CAP)
 
 
+def envelope(rows: DataFrame) -> DataFrame:
+    """Each row as evidence for a model: JSON between fixed tags."""
+    return rows.select(F.concat(F.lit("<corpus_evidence>"), F.to_json(F.struct(*rows.columns)), F.lit("</corpus_evidence>")).alias("evidence"))
+
+
 @query(f"""WITH {SECTIONS_SQL} SELECT module_id, count(*) AS n_sections FROM sections GROUP BY 1""")
 def read_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Corpus.of(spark, sf_dir).read("/modules")
@@ -130,3 +177,44 @@ def read_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT file_no, sponsor, status_text, introduced, status FROM states JOIN t USING (file_no)""")
 def read_amendments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Corpus.of(spark, sf_dir).read("/modules/src1/sections/1.0/amendments")
+
+
+@query(f"""WITH {texts.ORDINANCES_SQL}, o AS (SELECT number, min(year) AS year, arg_min(approved, doc_id) FILTER (approved IS NOT NULL) AS approved_at, count(*) AS n_cited_in FROM i GROUP BY number)
+SELECT *, (SELECT count(*) FROM o) AS total, (SELECT count(*) FROM o) > 50 AS truncated FROM o ORDER BY approved_at DESC NULLS LAST, year DESC, CAST(split_part(number, '-', 1) AS BIGINT) DESC, number LIMIT 50""")
+def read_ordinances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Corpus.of(spark, sf_dir).read("/ordinances")
+
+
+@query(f"""WITH {SECTIONS_SQL}, {texts.ORDINANCES_SQL} SELECT number, year, file, approved FROM i JOIN sections s USING (doc_id) WHERE module_id = 'src1' AND section_id = '1.0'""")
+def read_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinances in the history of a section."""
+    return Corpus.of(spark, sf_dir).read("/modules/src1/sections/1.0/history")
+
+
+@query(f"""WITH {SECTIONS_SQL}, d AS (SELECT module_id, section_id, doc_id, lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) AS term FROM sections), t AS (SELECT term, count(*) AS n FROM d GROUP BY 1)
+SELECT *, (SELECT count(*) FROM t) AS total, (SELECT count(*) FROM t) > 50 AS truncated FROM t ORDER BY term LIMIT 50""")
+def read_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms in order, as far as the list goes."""
+    return Corpus.of(spark, sf_dir).read("/definitions")
+
+
+@query(f"""WITH {CITATIONS_SQL} SELECT citation_index, cited_id, target_kind FROM citations WHERE citing_id = 1""")
+def read_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Corpus.of(spark, sf_dir).read("/modules/src1/sections/1.0/references")
+
+
+@query(f"""WITH {SECTIONS_SQL}, {OUTCOMES_SQL}, f AS (SELECT min(file_no) AS file_no FROM outcomes WHERE section_id = 1)
+SELECT o.section_id, o.file_no, position, status, n_words, module_id, title, text AS baseline FROM outcomes o JOIN f ON o.file_no = f.file_no JOIN sections s ON s.doc_id = o.section_id WHERE doc_id = 1""")
+def read_bill_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first bill on a section does to it, beside the text in force."""
+    corpus = Corpus.of(spark, sf_dir)
+    first = corpus.outcomes.where("section_id = 1").agg(F.min("file_no")).first()[0]
+    return corpus.read(f"/bills/{first}/changes/src1/1.0")
+
+
+@query("""SELECT c_custkey, '12a.' || c_custkey AS number, c_name AS root, lower(trim(regexp_replace(c_mktsegment || '  ' || c_name || ' ', '\\s+', ' ', 'g'))) AS term FROM customer""")
+def lookup_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, jurisdictions and terms in the forms in which they are looked up."""
+    c = table(spark, sf_dir, "customer")
+    raw = (canonical_number(F.concat(F.lit("§ 12A . "), "c_custkey")).alias("number"), root_label(F.concat(F.lit("City and County of "), "c_name")).alias("root"), normal_term(F.concat("c_mktsegment", F.lit("  "), "c_name", F.lit(" "))).alias("term"))
+    return c.select("c_custkey", *raw)

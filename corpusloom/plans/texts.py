@@ -32,18 +32,27 @@ def citation_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "position", "c.display", "c.first", "c.last", X.target_kind(F.col("c.first"), F.col("c.last")).alias("kind"))
 
 
-@query(f"""WITH l AS (SELECT doc_id, source, {LEGAL} AS s FROM documents),
+#: One row per section with an ordinance: number, year, file, app, approved (DuckDB).
+ORDINANCES_SQL = f"""l AS (SELECT doc_id, source, {LEGAL} AS s FROM documents),
 m AS (SELECT doc_id, source, regexp_extract(s, '{X.ORDINANCE}', 1) AS number, regexp_extract(s, '{X.ORDINANCE}', 2) AS file, regexp_extract(s, '{X.ORDINANCE}', 3) AS app FROM l),
 y AS (SELECT *, CAST(split_part(number, '-', 2) AS INTEGER) AS n, length(split_part(number, '-', 2)) AS d FROM m),
 z AS (SELECT *, CASE WHEN d = 4 THEN n WHEN n >= 90 THEN n + 1900 ELSE n + 2000 END AS year, CAST(split_part(app, '/', 1) AS INTEGER) AS mo, CAST(split_part(app, '/', 2) AS INTEGER) AS da, CAST(split_part(app, '/', 3) AS INTEGER) AS ye FROM y),
-i AS (SELECT *, CASE WHEN mo BETWEEN 1 AND 12 AND da BETWEEN 1 AND 31 THEN CAST(CASE WHEN ye < 100 THEN year // 100 * 100 + ye ELSE ye END AS VARCHAR) || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') || '-' || lpad(CAST(da AS VARCHAR), 2, '0') END AS approved FROM z)
-SELECT number, min(year) AS year, arg_min(file, doc_id) AS file_no, arg_min(approved, doc_id) FILTER (approved IS NOT NULL) AS approved_at, count(DISTINCT source || '::' || doc_id) AS n_cited_in FROM i GROUP BY number""")
-def ordinance_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordinances by number: year, file, the first known date, and how many sections cite each."""
+i AS (SELECT *, CASE WHEN mo BETWEEN 1 AND 12 AND da BETWEEN 1 AND 31 THEN CAST(CASE WHEN ye < 100 THEN year // 100 * 100 + ye ELSE ye END AS VARCHAR) || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') || '-' || lpad(CAST(da AS VARCHAR), 2, '0') END AS approved FROM z)"""
+
+
+def ordinances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordinance that each section's history names: doc_id, source, number, file, app, year, approved."""
     s = F.col("sentence")
     rows = legal(spark, sf_dir).select("doc_id", "source", *[F.regexp_extract(s, X.ORDINANCE, k).alias(n) for k, n in ((1, "number"), (2, "file"), (3, "app"))])
     rows = rows.withColumn("year", X.ordinance_year(F.col("number")))
-    rows = rows.withColumn("approved", X.iso_date(F.col("app"), F.col("year")))
+    return rows.withColumn("approved", X.iso_date(F.col("app"), F.col("year")))
+
+
+@query(f"""WITH {ORDINANCES_SQL}
+SELECT number, min(year) AS year, arg_min(file, doc_id) AS file_no, arg_min(approved, doc_id) FILTER (approved IS NOT NULL) AS approved_at, count(DISTINCT source || '::' || doc_id) AS n_cited_in FROM i GROUP BY number""")
+def ordinance_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordinances by number: year, file, the first known date, and how many sections cite each."""
+    rows = ordinances(spark, sf_dir)
     known = F.min_by("approved", F.when(F.col("approved").isNotNull(), F.col("doc_id")))
     return rows.groupBy("number").agg(F.min("year").alias("year"), F.min_by("file", "doc_id").alias("file_no"), known.alias("approved_at"), F.countDistinct("source", "doc_id").alias("n_cited_in"))
 
