@@ -19,6 +19,8 @@ sums over that table without its ids.
 
 from __future__ import annotations
 
+import bisect
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -70,14 +72,17 @@ class Mixture:
         self.levels = at[order]
         self.slopes = np.cumsum(np.concatenate([self.weight, -self.weight])[order])
         self.sums = np.concatenate([[0.0], np.cumsum(self.slopes[:-1] * np.diff(self.levels))])
+        self._bends = [x.tolist() for x in (self.levels, self.slopes, self.sums)]
+        self._queues = list(zip(self.weight.tolist(), self.begin.tolist(), self.total.tolist(), strict=True))
 
     def level(self, window: int) -> float:
         """The level at the beginning of ``window``."""
+        levels, slopes, sums = self._bends
         v = float(min(window * self.window, self.end))
-        k = max(int(np.searchsorted(self.sums, v, side="right")) - 1, 0)
-        if k + 1 >= len(self.levels) or self.slopes[k] <= 0:
-            return float(self.levels[k])
-        return float(min(self.levels[k] + (v - self.sums[k]) / self.slopes[k], self.levels[k + 1]))
+        k = max(bisect.bisect_right(sums, v) - 1, 0)
+        if k + 1 >= len(levels) or slopes[k] <= 0:
+            return levels[k]
+        return min(levels[k] + (v - sums[k]) / slopes[k], levels[k + 1])
 
     def credit(self, window: int) -> np.ndarray:
         """What each queue was given before ``window``, none more than its total."""
@@ -93,15 +98,24 @@ class Mixture:
         """Credit that each queue carries into ``window``, in parts of a token."""
         return np.maximum(self.credit(window) - self.served(window), 0.0)
 
+    def served_of(self, queue: int, window: int) -> int:
+        """One queue's part of :meth:`served`."""
+        weight, begin, total = self._queues[queue]
+        if window >= self.windows:
+            return total
+        return math.floor(min(min(max(weight * (self.level(window) - begin), 0.0), total) + 1e-6, total))
+
     def window_of(self, queue: int, position: int) -> int:
         """The window that holds the queue's token ``position``."""
-        x = self.begin[queue] + (position + 1) / self.weight[queue]
-        k = max(int(np.searchsorted(self.levels, x, side="right")) - 1, 0)
-        v = self.sums[k] + max(self.slopes[k], 0.0) * (x - self.levels[k])
+        weight, begin, _ = self._queues[queue]
+        levels, slopes, sums = self._bends
+        x = begin + (position + 1) / weight
+        k = max(bisect.bisect_right(levels, x) - 1, 0)
+        v = sums[k] + max(slopes[k], 0.0) * (x - levels[k])
         w = min(max(int(v // self.window), 0), self.windows - 1)
-        while w > 0 and self.served(w)[queue] > position:
+        while w > 0 and self.served_of(queue, w) > position:
             w -= 1
-        while w + 1 < self.windows and self.served(w + 1)[queue] <= position:
+        while w + 1 < self.windows and self.served_of(queue, w + 1) <= position:
             w += 1
         return w
 

@@ -360,3 +360,16 @@ def test_packing_to_targets(spark, make):
     first = [r for r in rows if r["window"] == 0]
     share = lambda k: sum(r["length"] for r in first if r["doc_id"] % 3 == k)
     assert (share(0), share(1), share(2)) == (768, 256, 0)
+
+
+def test_one_queue_is_served_as_all_are():
+    r = random.Random(13)
+    totals = {f"s{k}": r.randint(0, 9_000) for k in range(12)}
+    for targets in (None, {"s1": 3, "s2": 5.5}, {s: r.random() for s in totals}):
+        m = packing.Mixture(totals, targets, 701)
+        for k in range(m.windows + 1):
+            assert [m.served_of(q, k) for q in range(12)] == m.served(k).tolist()
+        for q, s in enumerate(m.names):
+            for position in range(0, totals[s], 371):
+                k = m.window_of(q, position)
+                assert m.served_of(q, k) <= position < m.served_of(q, k + 1)
