@@ -43,7 +43,7 @@ def test_natural_key_orders_numbers(spark):
 
 def test_snippet_marks_cuts(spark):
     row = spark.createDataFrame([("x" * 50 + " Needle\n here",)], "t string").select(snippet(F.col("t"), "needle", 10)).first()
-    assert row[0] == "...xxxxxxxxx Needle here"
+    assert row[0] == "…xxxxxxxxx Needle here"
 
 
 @pytest.mark.parametrize(
