@@ -46,7 +46,8 @@ def iso_date(date: Column, year: Column) -> Column:
 
 
 def canonical_term(term: Column) -> Column:
-    return F.regexp_replace(F.trim(term), "[ \t\n]+", " ")
+    """White space trimmed and collapsed."""
+    return F.trim(F.regexp_replace(term, r"\s+", " "))
 
 
 def definition_id(module: Column, section: Column, term: Column) -> Column:
