@@ -65,14 +65,14 @@ def definition_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).withColumns(longs).withColumn("scope_prefix", F.when(F.col("scope_prefix").isNotNull(), F.array_join("scope_prefix", "/"))).drop("module_id")
 
 
-_USES = "CASE p_partkey % 4 WHEN 0 THEN ' The  One ' WHEN 1 THEN 'AND' WHEN 2 THEN 'en' ELSE p_name END"
+_USES = "CASE s_suppkey % 4 WHEN 0 THEN ' The  One ' WHEN 1 THEN 'AND' WHEN 2 THEN 'en' ELSE s_name END"
 
 
-@query(f"""WITH {_SECTIONS}, {_TERMS}, {_RECORDS}, u AS (SELECT p_partkey AS section_key, {_USES} AS term FROM part WHERE p_partkey % 40 < 4), k AS (SELECT lower(term) AS t, module_id, defined_in FROM defs)
+@query(f"""WITH {_SECTIONS}, {_TERMS}, {_RECORDS}, u AS (SELECT s_suppkey AS section_key, {_USES} AS term FROM supplier), k AS (SELECT lower(term) AS t, module_id, defined_in FROM defs)
 SELECT section_key, u.term, module_id, defined_in FROM u LEFT JOIN k ON k.t = lower(trim(regexp_replace(u.term, '\\s+', ' ', 'g')))""")
 def terms_defined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms in use with the sections of all modules that define them."""
-    uses = table(spark, sf_dir, "part").where("p_partkey % 40 < 4").select(F.col("p_partkey").alias("section_key"), F.expr(_USES).alias("term"))
+    uses = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("section_key"), F.expr(_USES).alias("term"))
     return D.terms_defined(uses, records(spark, sf_dir))
 
 
