@@ -15,9 +15,12 @@ the floor of its table.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,12 +36,37 @@ SAMPLE = 16 << 20
 LENGTHS = (5, 4, 3, 2, 1)
 #: Scores that a worker remembers: words times languages.
 REMEMBERED = 1 << 22
-_RUN = re.compile(r"[^\W\d_]+")
+# Below this range there are neither combining marks nor joiners.
+_MAY_MARK = re.compile("[\u0300-\u036f\u0483-\U0010ffff]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_JOINERS = "\u200c\u200d"
+
+
+@lru_cache(maxsize=1)
+def _run() -> re.Pattern:
+    """A letter and all letters, combining marks (category M) and joiners after it."""
+
+    def ranges(keep) -> str:
+        out, first = [], None
+        for k in range(sys.maxunicode + 2):
+            there = k <= sys.maxunicode and keep(chr(k))
+            if there and first is None:
+                first = k
+            elif not there and first is not None:
+                out.append(f"{chr(first)}-{chr(k - 1)}" if k - 1 > first else chr(first))
+                first = None
+        return "".join(out)
+
+    letters = ranges(str.isalpha)
+    return re.compile(f"[{letters}][{letters}{ranges(lambda c: unicodedata.category(c)[0] == 'M')}{_JOINERS}]*")
 
 
 def words(text: str) -> Counter:
-    """Lower-cased runs of letters with their counts; digits of any kind, such as superscripts, are no letters."""
-    found = Counter(_RUN.findall(text.lower()))
+    """Lower-cased, composed runs of letters with their counts; marks and joiners belong to the letter before, digits of any kind, such as superscripts, are no letters."""
+    text = text.lower()
+    if _MAY_MARK.search(text):
+        return Counter(_run().findall(unicodedata.normalize("NFC", text)))
+    found = Counter(_LETTERS.findall(text))
     for w in [w for w in found if not w.isalpha()]:
         n = found.pop(w)
         for part in "".join(c if c.isalpha() else " " for c in w).split():
