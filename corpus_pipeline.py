@@ -38,8 +38,11 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens, sources mixed in proportion."""
-    return packing.pack(docs)
+    """Pieces of documents in sequences of 4096 tokens; every window holds the sources in operator 4's target proportions.
+
+    A null source is a queue of its own, a null text its end token alone; columns beyond those of documents aren't read.
+    """
+    return packing.pack(docs, temperature=packing.TEMPERATURE)
 
 
 STAGES = [
