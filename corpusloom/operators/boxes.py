@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import running_sums
 from corpusloom.operators.headings import HEADING
 from corpusloom.operators.html import section_id
 
@@ -128,9 +129,9 @@ def toc_anchors(anchors: DataFrame, renamed: DataFrame) -> DataFrame:
 
 def paragraph_breaks(text: Column) -> Column:
     """Places of the line feeds of a section's text, from 0."""
-    ends = F.split(text, "\n", -1)
-    folded = F.aggregate(F.slice(ends, 1, F.size(ends) - 1), F.array().cast("array<int>"), lambda out, part: F.array_append(out, F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(-1)) + 1 + F.length(part)))
-    return F.when(text.isNotNull(), F.when(F.size(ends) > 1, folded).otherwise(F.array().cast("array<int>")))
+    parts = F.split(text, "\n", -1)
+    lengths = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda part: F.length(part) + 1)
+    return F.transform(running_sums(lengths), lambda end: end - 1)
 
 
 def line_number(text: Column, offset: Column) -> Column:

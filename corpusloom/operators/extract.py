@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,22 +74,13 @@ def roman(n: Column) -> Column:
 
 
 def recognise(texts: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Occurrences of glossary terms: the longest at word ends, left to right, none overlapping: id, start, term.
+    """Occurrences of the terms of one glossary (see ``operators.recogniser``): id, start, term."""
+    from corpusloom.operators import recogniser
 
-    ``terms`` is a bounded glossary of one module; it becomes one alternation, longest first.
-    """
-    pattern = "|".join(re.escape(t) for t in sorted({t for t in terms if t}, key=lambda t: (-len(t), t)))
-    if not pattern:
-        return texts.select(F.col(id_col), F.lit(0).alias("start"), F.lit("").alias("term")).limit(0)
-    rule = re.compile(rf"(?<![0-9A-Za-z_])(?:{pattern})(?![0-9A-Za-z_])")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, m.start(), m.group()) for k, t in zip(pdf[id_col], pdf[text_col], strict=True) if t for m in rule.finditer(t)]
-            yield pd.DataFrame(rows, columns=[id_col, "start", "term"])
-
-    kind = texts.schema[id_col].dataType.simpleString()
-    return texts.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, start int, term string")
+    spark = texts.sparkSession
+    glossary = spark.createDataFrame([("", t) for t in terms], "module_id string, term string")
+    found = recogniser.recognised(texts.withColumn("_module", F.lit("")), glossary, id_col, text_col, "_module")
+    return found.select(F.col("key").alias(id_col), "start", "term")
 
 
 def tile(occurrences: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
