@@ -16,3 +16,13 @@ def running_sums(numbers: Column) -> Column:
         return pd.Series([None if a is None else np.cumsum(np.asarray(a, np.int64)).tolist() for a in arrays], dtype=object)
 
     return of(numbers)
+
+
+def match_ends(gaps: Column, sizes: Column) -> Column:
+    """Where each match ends, from the lengths of the gaps around matches (one more than these) and of the matches; null for null."""
+
+    @F.pandas_udf("array<int>")
+    def of(gaps: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else np.cumsum(np.asarray(g, np.int64)[: len(s)] + np.asarray(s, np.int64)).tolist() for g, s in zip(gaps, sizes, strict=True)], dtype=object)
+
+    return of(gaps, sizes)
