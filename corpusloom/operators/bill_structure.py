@@ -100,7 +100,7 @@ def ranges(bills: DataFrame) -> DataFrame:
 
 
 def blocks(bills: DataFrame, found: DataFrame) -> DataFrame:
-    """The blocks of bills: file_no, group_no, header_no, place, kind, marker, text.
+    """The blocks of bills: file_no, group_no, header_no, place, kind, number (of a header), marker, subsection, text.
 
     ``found`` of :func:`ranges`. Kinds: preamble, action and closing (reflowed), code_section_header (text: its title) and paragraph; a
     paragraph under a label has it as ``marker`` and its number among the labels as ``subsection``, and a label without text has a null text.
@@ -109,18 +109,18 @@ def blocks(bills: DataFrame, found: DataFrame) -> DataFrame:
     cut = lambda rows, a, b: F.substr("text", F.col(a) + 1, F.col(b) - F.col(a))
     held = found.join(texts, "file_no")
     none = F.lit(None)
-    shape = ("file_no", "group_no", "header_no", "place", "kind", "marker", "subsection", "text")
-    ends = held.where("kind in ('preamble', 'closing')").select("file_no", "group_no", "header_no", F.lit(0).alias("place"), "kind", none.cast("string").alias("marker"), none.cast("int").alias("subsection"), reflowed(cut(held, "start", "end")).alias("text"))
+    shape = ("file_no", "group_no", "header_no", "place", "kind", "number", "marker", "subsection", "text")
+    ends = held.where("kind in ('preamble', 'closing')").select("file_no", "group_no", "header_no", F.lit(0).alias("place"), "kind", none.cast("string").alias("number"), none.cast("string").alias("marker"), none.cast("int").alias("subsection"), reflowed(cut(held, "start", "end")).alias("text"))
     firsts = found.where("kind = 'header'").groupBy("file_no", "group_no").agg(F.min("start").alias("first"))
     groups = held.where("kind = 'group'").join(firsts, ["file_no", "group_no"], "left").withColumn("until", F.coalesce("first", "end"))
-    actions = groups.select("file_no", "group_no", "header_no", F.lit(0).alias("place"), F.lit("action").alias("kind"), none.cast("string").alias("marker"), none.cast("int").alias("subsection"), reflowed(cut(groups, "start", "until")).alias("text"))
-    heads = found.where("kind = 'header'").select("file_no", "group_no", "header_no", F.lit(0).alias("place"), F.lit("code_section_header").alias("kind"), none.cast("string").alias("marker"), none.cast("int").alias("subsection"), F.col("name").alias("text"))
+    actions = groups.select("file_no", "group_no", "header_no", F.lit(0).alias("place"), F.lit("action").alias("kind"), none.cast("string").alias("number"), none.cast("string").alias("marker"), none.cast("int").alias("subsection"), reflowed(cut(groups, "start", "until")).alias("text"))
+    heads = found.where("kind = 'header'").select("file_no", "group_no", "header_no", F.lit(0).alias("place"), F.lit("code_section_header").alias("kind"), "number", none.cast("string").alias("marker"), none.cast("int").alias("subsection"), F.col("name").alias("text"))
     label = LABEL.removeprefix(f"(?i)^{_W}*")
     bodies = held.where("kind = 'header'").select("file_no", "group_no", "header_no", F.posexplode(paragraphs(cut(held, "after", "end"), f"(?i:{label})")).alias("place", "raw"))
     here = Window.partitionBy("file_no", "group_no", "header_no").orderBy("place")
     marker = F.nullif(F.regexp_extract("raw", LABEL, 1), F.lit(""))
     bodies = bodies.withColumn("own", marker).withColumns({"marker": F.last("own", True).over(here), "subsection": F.nullif(F.sum(F.col("own").isNotNull().cast("int")).over(here), F.lit(0)).cast("int"), "text": F.nullif(_squeezed(F.regexp_replace("raw", LABEL, "")), F.lit(""))})
-    bodies = bodies.where("text is not null or own is not null").withColumns({"place": F.col("place") + 1, "kind": F.lit("paragraph")})
+    bodies = bodies.where("text is not null or own is not null").withColumns({"place": F.col("place") + 1, "kind": F.lit("paragraph"), "number": none.cast("string")})
     out = ends.select(*shape)
     for part in (actions, heads, bodies):
         out = out.unionByName(part.select(*shape))
