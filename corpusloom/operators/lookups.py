@@ -46,3 +46,14 @@ def bill_sections(refs: DataFrame, anchors: DataFrame) -> DataFrame:
     orphans = probe.join(anchors.distinct(), "anchor_id").where("module_id <> own").groupBy("ref_id").agg(best).select("ref_id", F.col("x.m").alias("other"), F.col("x.a").alias("other_anchor"))
     place = F.when(F.col("anchor_id").isNotNull(), "own").when(F.col("other").isNotNull(), "orphan").otherwise("missing")
     return own.join(orphans, "ref_id", "left").select("ref_id", place.alias("place"), F.when(F.col("anchor_id").isNotNull(), F.col("module_id")).otherwise(F.col("other")).alias("found_module"), F.coalesce("anchor_id", "other_anchor").alias("anchor_id"))
+
+
+def with_diffs(outcomes: DataFrame, chunks: DataFrame, bills: DataFrame) -> DataFrame:
+    """Bills (section_id, file_no) that show a diff for a section: its first outcome in the bill changes or adds it, the bill's diff has
+    chunks of it, and the bill is more than a body.
+
+    ``outcomes``: file_no, section_id, position, status; ``chunks``: file_no, section_id; ``bills``: file_no, parse_status.
+    """
+    first = outcomes.groupBy("file_no", "section_id").agg(F.min_by("status", "position").alias("status")).where("status in ('anchored', 'added_section')")
+    shown = first.join(chunks.select("file_no", "section_id").distinct(), ["file_no", "section_id"], "left_semi")
+    return shown.join(bills.where("parse_status = 'body_only'").select("file_no"), "file_no", "left_anti").select("section_id", "file_no")

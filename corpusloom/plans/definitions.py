@@ -45,9 +45,8 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions of all documents; those whose number ends in 00 or 50 define for their whole module."""
     s = sections(spark, sf_dir)
-    made = D.definitions(s, D.defined_terms(s, id_col="key"))
-    wide = F.expr("int(defined_in) % 50 = 0")
-    return made.withColumns({"scope_kind": F.when(wide, "module").otherwise("hierarchy"), "scope_prefix": F.when(~wide, F.col("scope_prefix"))})
+    last = s.agg(F.max("key")).first()[0] or 0
+    return D.definitions(s, D.defined_terms(s, id_col="key"), definers=[str(k) for k in range(0, last + 1, 50)])
 
 
 @query(f'WITH {_SECTIONS}, {_TERMS} SELECT doc_id, term, way, start, stop AS "end", match_end FROM d')
@@ -58,7 +57,7 @@ def defined_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_SECTIONS}, {_TERMS}, {_RECORDS} SELECT def_id, term, defined_in, begin, stop AS "end", CASE WHEN length(raw) > 500 THEN left(raw, 499) || '…' ELSE raw END AS excerpt,
-CASE WHEN wide THEN 'module' ELSE 'hierarchy' END AS scope_kind, CASE WHEN NOT wide THEN array_to_string(hierarchy, '/') END AS scope_prefix, 'amlegal:pattern:' || way AS source, place_begin, place_end FROM defs""")
+CASE WHEN wide THEN 'module' ELSE 'hierarchy' END AS scope_kind, CASE WHEN NOT wide THEN array_to_string(hierarchy, '/') END AS scope_prefix, CASE WHEN wide THEN 'manifest:declared-global' ELSE 'amlegal:pattern:' || way END AS source, place_begin, place_end FROM defs""")
 def definition_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record of every definition: anchor, excerpt, scope."""
     longs = {c: F.col(c).cast("long") for c in ("begin", "end", "place_begin", "place_end")}

@@ -23,10 +23,14 @@ def filtered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where(L.all_of(F.col("editorial_status") == "active", L.any_of(F.col("chapter") == "en", F.col("article_id") == "article-3"), L.all_of(), L.any_of())).select("doc_id", "module_id")
 
 
-@query(f"WITH {OUTCOMES_SQL} SELECT DISTINCT section_id, file_no FROM outcomes WHERE status IN ('anchored', 'added_section')")
+@query(f"""WITH {OUTCOMES_SQL}, f AS (SELECT file_no, section_id, arg_min(status, position) AS status, bool_or(n_words % 4 > 0) AS chunk FROM outcomes GROUP BY 1, 2)
+SELECT section_id, file_no FROM f WHERE status IN ('anchored', 'added_section') AND chunk AND file_no % 13 > 0""")
 def bills_with_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bills that show a diff for a section."""
-    return bridge.outcomes(spark, sf_dir).where(F.col("status").isin("anchored", "added_section")).select("section_id", "file_no").distinct()
+    o = bridge.outcomes(spark, sf_dir)
+    chunks = o.where("n_words % 4 > 0").select("file_no", "section_id")
+    bills = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_no"), F.expr("CASE WHEN o_orderkey % 13 = 0 THEN 'body_only' ELSE 'ok' END").alias("parse_status"))
+    return L.with_diffs(o, chunks, bills)
 
 
 @query("SELECT event_id, event_id % 15000 AS doc_id FROM events WHERE event_id % 15000 IN (SELECT doc_id FROM documents)")

@@ -194,8 +194,8 @@ def test_grids(spark):
 def test_titles_and_slices(spark):
     from corpusloom.operators import headings
 
-    assert headings.title_case("CITY-OPERATED FARMERS' MARKETS [REPEALED.]") == "City-Operated Farmers' Markets [Repealed.]"
-    assert headings.title_case("TENANT RIGHTS UNDER SECTION 37.9(a)") == "Tenant Rights Under Section 37.9(a)"
+    assert headings.title_case("HARBOR-FRONT TRADERS' STALLS [REMOVED.]") == "Harbor-Front Traders' Stalls [Removed.]"
+    assert headings.title_case("ROOF WORK UNDER SECTION 4.2(b)") == "Roof Work Under Section 4.2(b)"
     anchors = spark.createDataFrame([(1, "JD_A", 0), (1, "JD_B", 50), (1, "JD_C", 70), (1, "JD_C", 80)], "doc int, name string, offset int")
     wanted = spark.createDataFrame([("JD_A", "a"), ("JD_B", "b"), ("JD_C", "c"), ("JD_X", "x")], "name string, module_id string")
     got = {r["module_id"]: (r["begin"], r["end"], r["reason"]) for r in headings.module_slices(anchors, wanted).collect()}
