@@ -31,7 +31,7 @@ SHARD = 8192
 LINKS = 12
 BEAM = 48
 #: Queries audited at a time, links that an audit must have seen, the share of the queries that it asks at most for them, and the recall it demands.
-AUDIT, EVIDENCE, ASKED, RECALL = 64, 30, 8, 0.99
+AUDIT, EVIDENCE, RECALL = 64, 30, 0.99
 LIMIT = 0.93
 #: Queries that are searched together.
 TOGETHER = 256
@@ -187,7 +187,7 @@ def links_between(queries: np.ndarray, graph: Graph, limit: float, own: bool = F
     order = np.random.default_rng(1).permutation(q)
     truth: dict[int, np.ndarray] = {}
     links = 0
-    while len(truth) < q and (len(truth) < max(AUDIT, q // ASKED)) and links < EVIDENCE:
+    while len(truth) < q and links < EVIDENCE:  # until there is evidence, or every query was asked
         some = order[len(truth) : len(truth) + AUDIT]
         real = queries[some] @ graph.v.T >= limit - near
         truth.update(zip(some.tolist(), real, strict=True))
@@ -209,7 +209,7 @@ def links_between(queries: np.ndarray, graph: Graph, limit: float, own: bool = F
         if own:
             np.fill_diagonal(hit, False)
         found = int((hit[sample] & real).sum())
-        if found >= RECALL * real.sum() and (links >= EVIDENCE or beam > BEAM or len(truth) == q):
+        if found >= RECALL * real.sum():
             break
         if beam >= n:  # parts of the graph that no search reaches: all vectors are seen
             for k in range(0, q, TOGETHER):
@@ -220,7 +220,7 @@ def links_between(queries: np.ndarray, graph: Graph, limit: float, own: bool = F
         beam = min(4 * beam, n)
     found = int((hit[sample] & real).sum())
     hit[sample] |= real  # what the audit saw is known anyhow
-    return hit, found, int(real.sum())
+    return hit, found, int(real.sum()), len(truth)
 
 
 def _widen(hit: np.ndarray, queries: np.ndarray, graph: Graph, limit: float) -> None:
@@ -282,7 +282,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 _BUILT = "label string, dims int, shard int, shards int, vec_id long, embedding array<double>, place int, level int, links array<int>"
-_FOUND = "label string, vec_id long, root long, n long, seen long, want long"
+_FOUND = "label string, vec_id long, root long, n long, seen long, want long, asked long"
 
 
 def _restored(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph | None]:
@@ -305,7 +305,7 @@ def _link_task(limit: float):
         left = right if a == b else _restored(pdf[pdf["shard"] == a])
         if not len(left[0]) or not len(right[0]):
             return pd.DataFrame({c.split()[0]: [] for c in _FOUND.split(", ")})
-        hit, seen, want = links_between(left[2], right[3], limit, own=a == b)
+        hit, seen, want, asked = links_between(left[2], right[3], limit, own=a == b)
         if a == b:
             hit |= hit.T
         counts = [np.zeros(hit.shape[0], np.int64), np.zeros(hit.shape[1], np.int64)]
@@ -327,21 +327,22 @@ def _link_task(limit: float):
         least = np.full(int(of.max(initial=-1)) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, of, ids)
         out = pd.DataFrame({"vec_id": ids, "root": least[of], "n": n}).astype("Int64")
-        audit = pd.DataFrame({"vec_id": [pd.NA], "root": [pd.NA], "n": [0], "seen": [seen], "want": [want]}).astype("Int64")
+        audit = pd.DataFrame({"vec_id": [pd.NA], "root": [pd.NA], "n": [0], "seen": [seen], "want": [want], "asked": [asked]}).astype("Int64")
         return pd.concat([out, audit]).assign(label=label)[[c.split()[0] for c in _FOUND.split(", ")]]
 
     return run
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", limit: float = LIMIT, shard: int = SHARD) -> DataFrame:
-    """One row per input row: vec_id, n_links, component_id, kept, recall.
+    """One row per input row: vec_id, n_links, component_id, kept, recall, audited_links, audited_queries.
 
     Vectors are compared when their labels are equal and not null and they have equally many
     components; links join those found with a cosine of ``limit`` or more. A vector that is
     null, empty or zero or holds a null or non-finite component links with nothing, and so does
     a row with a null id (its component is null). Rows that repeat an id are one vector, the
     least of them. recall is the share of the audited links of the vector's label that the searches
-    found (null where no audit saw a link). Other columns are ignored; an empty table gives an empty result.
+    found (null where no audit saw a link), audited_links their number and audited_queries that of the searches that were
+    held against all vectors of a shard: of each pair of shards as many as show EVIDENCE links, or all. Other columns are ignored; an empty table gives an empty result.
     """
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -355,11 +356,11 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     pairs = pairs.withColumn("links", F.when(F.col("shard") == F.col("b"), F.col("links")))  # only the searched side needs its graph
     found = stage(pairs.groupBy("label", "dims", "a", "b").applyInPandas(_link_task(limit), _FOUND), "links")
     counts = found.where("vec_id is not null").groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    audits = stage(found.where("vec_id is null").groupBy("label").agg((F.sum("seen") / F.nullif(F.sum("want"), F.lit(0))).alias("recall")), "audits")
+    audits = stage(found.where("vec_id is null").groupBy("label").agg((F.sum("seen") / F.nullif(F.sum("want"), F.lit(0))).alias("recall"), F.sum("want").alias("audited_links"), F.sum("asked").alias("audited_queries")), "audits")
     roots = connected_components(found.select("vec_id", "root")).select(F.col("node").alias("vec_id"), "root")
     out = base.select("vec_id", "label").join(counts, "vec_id", "left").join(roots, "vec_id", "left").join(audits, "label", "left")
     component = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), "recall")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), "recall", F.coalesce("audited_links", F.lit(0)).alias("audited_links"), F.coalesce("audited_queries", F.lit(0)).alias("audited_queries"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ from .common import crc_fold, small_batches, stage, utf8
 GRAMS = (4, 6)
 BUCKETS = 1 << 20
 SAMPLE = 16_000
+#: Bytes of text in the sample, about, at most; beyond that a part of its rows is drawn by hash.
+SAMPLE_BYTES = 96 << 20
 #: A feature's count must stray from chance so far (one in ten thousand does so by chance); so many are kept anyhow.
 STRAY, FEATURES_AT_LEAST = 15.0, 64
 THRESHOLD = 0.3
@@ -49,6 +51,20 @@ def grams(text: str | None) -> np.ndarray:
     return (np.concatenate([four, six]) * _M[6] >> np.uint64(44)).astype(np.int64)
 
 
+def grams_of(gram: bytes) -> np.ndarray:
+    """The bucket of one n-gram, from its bytes; none for another length."""
+    if len(gram) not in GRAMS:
+        return np.zeros(0, np.int64)
+    one = _BYTE[np.frombuffer(gram, np.uint8)]
+    two = one[:-1] * _M[0] + one[1:] * _M[1]
+    two ^= two >> np.uint64(31)
+    out = two[:-2] * _M[2] + two[2:] * _M[3]
+    out ^= out >> np.uint64(31)
+    if len(gram) == GRAMS[1]:
+        out = out[:-2] * _M[4] + two[4:] * _M[5]
+    return (out * _M[6] >> np.uint64(44)).astype(np.int64)
+
+
 @dataclass
 class Model:
     """weight: log-count ratio times regression weight by bucket; zero for a bucket that is no feature."""
@@ -92,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on at most ``sample`` labelled rows, those with the smallest hashes of their ids.
 
     ``labels`` has ``id_col`` and ``label_col`` (0 or 1); null labels and ids are left out, and of
-    repeated ids the larger label counts. Without rows of both labels nothing can be learned and
+    repeated ids the larger label counts. A sample of more than SAMPLE_BYTES of text is thinned, so that what the driver holds
+    does not grow with the texts. Without rows of both labels nothing can be learned and
     every text scores near zero, so that nothing is rejected without evidence. The sample's texts are written
     once; all that follows reads them there. Every n-gram of the sample whose counts stray from
     chance is a feature.
@@ -100,8 +117,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
     # The sample's size is bounded by its limit, so it can be sent to every task.
-    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").select("text", "label")
+    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id")
     rows = stage(rows, "toxicity-sample")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > SAMPLE_BYTES:
+        rows = rows.where(F.pmod(F.xxhash64("label_id", F.lit("drawn")), F.lit(1_000_000)) < SAMPLE_BYTES / size * 1_000_000)
     counts = rows.mapInPandas(_presence, "bucket int, negative long, positive long").groupBy("bucket").agg(F.sum("negative").alias("negative"), F.sum("positive").alias("positive"))
     n0, n1 = (int(x or 0) for x in rows.agg(F.sum(F.expr("1 - label")), F.sum("label")).first())
     weight = np.zeros(BUCKETS, np.float32)
@@ -160,6 +180,6 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
-#: A fitted model has no SQL; tests hold it against held-out labels.
+#: A fitted model has no SQL; tests hold features and scores against a plain version and the model against held-out labels.
 SQL: dict[str, str] = {}
 QUERIES = {"op6_toxicity": op6_toxicity}

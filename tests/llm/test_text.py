@@ -9,6 +9,7 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusloom.llm import language_id, license_scan, nbest_pieces, packing, queries, suffix_dedup, toxicity, url_filter
@@ -62,6 +63,42 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean(found) >= 0.95 and sum(found) >= 0.85 * sum(labels[k] for k in held)
 
 
+def test_toxicity_against_a_plain_version(spark, make):
+    """Features by counting every n-gram of every text, and scores by summing their weights."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    texts = dict(docs.collect())
+    marked = [(texts[d], int(t)) for d, t in labels.collect() if d in texts]
+    n = [sum(t == k for _, t in marked) for k in (0, 1)]
+    seen = defaultdict(lambda: [0, 0])
+    own = {}
+    for text, toxic in marked:
+        plain = b" " + b" ".join(toxicity.utf8(text).translate(toxicity._LETTERS).split()) + b" "
+        own[text] = {int(b) for size in toxicity.GRAMS for k in range(len(plain) - size + 1) for b in toxicity.grams_of(plain[k : k + size])}
+        for b in own[text]:
+            seen[b][toxic] += 1
+    stray = {}
+    for b, (neg, pos) in seen.items():
+        share = (neg + pos) / sum(n)
+        cells = ((pos, n[1] * share), (neg, n[0] * share), (n[1] - pos, n[1] * (1 - share)), (n[0] - neg, n[0] * (1 - share)))
+        stray[b] = 2 * sum(x * np.log(x / e) for x, e in cells if x > 0)
+    features = {b for b, s in stray.items() if s >= toxicity.STRAY}
+    assert len(features) >= toxicity.FEATURES_AT_LEAST
+    weighed = set(np.flatnonzero(model.weight).tolist())
+    assert weighed <= features and len(features - weighed) <= 0.01 * len(features)
+    for text, _ in marked[:60]:
+        z = model.bias + sum(float(model.weight[b]) for b in own[text])
+        assert model.score(text) == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-6)
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, make, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2_000)
+    docs = make(["bad stupid words here " * 5, "good kind words there " * 5] * 100)
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 2 = 0) as toxic"))
+    assert model.score("bad stupid words here") > 0.5 > model.score("good kind words there")
+
+
 def test_toxicity_without_labels_or_text(spark, make):
     labels = spark.createDataFrame([(0, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(make(ODD), labels)
@@ -339,6 +376,21 @@ def test_pipeline_against_its_parts(spark, sf_dir):
     check_pieces(corpus_pipeline.run(spark, sf_dir).collect(), list(kept[4].items()))
 
 
+def test_pipeline_on_odd_tables(spark, sf_dir, make):
+    """Null and repeated ids and texts, very long texts, extra and clashing columns, and no rows at all."""
+    odd = make(ODD).withColumnRenamed("kept", "_toxicity").withColumn("score", F.lit(1))
+    odd = odd.unionByName(odd.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(odd.limit(3))
+    for rows in (odd, odd.limit(0)):
+        docs = rows
+        for name, function in corpus_pipeline.STAGES[:-1]:
+            docs = stage(function(spark, docs, sf_dir), f"odd-{name}")
+            assert docs.columns == odd.columns
+        norm = {"".join((r["text"] or "").split()) for r in rows.collect()}
+        assert docs.count() == (len(norm) if rows is odd else 0)
+        pieces = corpus_pipeline.packed(spark, docs, sf_dir).collect()
+        assert sum(r["length"] for r in pieces) == sum(len(word_tokens().encode(r["text"] or "")) + 1 for r in docs.collect())
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op12_source_divergence"}))
 def test_query_returns_every_row(spark, sf_dir, name):
     table, key = {"op8_url_filter": ("pages", "page_id"), "op9_embedding_dedup": ("embeddings", "vec_id"), "op13_conversation_repair": ("conversations", "conv_id")}.get(name, ("documents", "doc_id"))
