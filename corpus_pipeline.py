@@ -2,10 +2,17 @@
 
 Each stage takes all that its predecessor kept and writes its result as Parquet in the shared
 folder, so a lost executor costs tasks, not stages.
+
+All stages but the last give back all columns of their rows, whatever their names (but ``_row``, ``_key``, ``_runs`` and ``_run_id``, which
+stages use themselves and refuse). Texts are of any length and null texts count as empty. Rows with a null id, or an id that repeats, are
+rows like any other; of equal texts the longest original and then the smallest id stays, of near copies the smallest
+id, null ids last. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +25,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_fold("doc_id", 4) != 2)
     model = toxicity.fit(docs, labels)
-    scored = toxicity.scored(docs, model, score_col="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    score = f"_toxicity_{uuid.uuid4().hex}"
+    return toxicity.scored(docs, model, score_col=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
