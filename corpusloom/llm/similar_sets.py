@@ -33,6 +33,8 @@ PART, WHOLE = 4, 5
 SAMPLE, FREQUENT = 10_000, 20_000
 #: Centres that a row is held against before all pairs across groups.
 CENTRES = 8
+#: Passes in which pairs are verified.
+SLICES = 4
 #: Longs of a set's bitmap.
 LONGS = 8
 
@@ -90,21 +92,32 @@ def _possible(n: Column, i: Column, m: Column, j: Column) -> Column:
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar enough, by their whole sets."""
+    """Those of ``pairs`` (a, b) that are similar enough, by their whole sets.
 
-    @F.pandas_udf("array<long>")
+    Sets meet in SLICES passes over ranges of their hashes, whose common shingles add up, so that a pass moves a part of each set only.
+    """
+    names = [f"s{k}" for k in range(SLICES)]
+    bounds = np.array([k * (2**64 // SLICES) for k in range(1, SLICES)], np.uint64)
+
+    @F.pandas_udf(", ".join(["n int", *(f"{c} array<long>" for c in names)]))
     def of(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([shingle_set(t, words).view(np.int64) for t in texts], dtype=object)
-
-    pairs = stage(pairs.distinct(), "candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = stage(rows.join(asked, "row", "left_semi").select("row", of("text").alias("set")), "sets")
-    left, right = (sets.select(F.col("row").alias(x), F.col("set").alias(f"{x}_set")) for x in "ab")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    found = stage(pairs.join(left, "a").join(right, "b").where(common * (PART + WHOLE) >= (F.size("a_set") + F.size("b_set")) * PART).select("a", "b"), "similar")
-    discard(pairs, sets)
+        sets = [shingle_set(t, words) for t in texts]
+        cuts = [np.split(x.view(np.int64), np.searchsorted(x, bounds)) for x in sets]
+        return pd.DataFrame({"n": [len(x) for x in sets], **{c: pd.Series([cut[k] for cut in cuts], dtype=object) for k, c in enumerate(names)}})
+
+    counted = stage(pairs.distinct().select("a", "b", F.lit(0).alias("common"), F.lit(0).alias("all")), "candidates")
+    asked = counted.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = stage(rows.join(asked, "row", "left_semi").select("row", of("text").alias("x")).select("row", "x.*"), "sets")
+    for c in names:
+        left, right = (sets.select(F.col("row").alias(x), F.col("n").alias(f"{x}_n"), F.col(c).alias(f"{x}_set")) for x in "ab")
+        common = F.col("common") + F.size(F.array_intersect("a_set", "b_set"))
+        now = stage(counted.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.col("a_n") + F.col("b_n")).alias("all")), "counted")
+        discard(counted)
+        counted = now
+    found = stage(counted.where(F.col("common") * (PART + WHOLE) >= F.col("all") * PART).select("a", "b"), "similar")
+    discard(counted, sets)
     return found
 
 
