@@ -33,8 +33,8 @@ PART, WHOLE = 4, 5
 SAMPLE, FREQUENT = 10_000, 20_000
 #: Centres that a row is held against before all pairs across groups.
 CENTRES = 8
-#: Passes in which pairs are verified.
-SLICES = 4
+#: Passes in which pairs are verified, at most, and bytes of sets that a pass moves, about.
+SLICES, PASS = 4, 384 << 20
 #: Longs of a set's bitmap.
 LONGS = 8
 
@@ -94,7 +94,7 @@ def _possible(n: Column, i: Column, m: Column, j: Column) -> Column:
 def _verified(rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar enough, by their whole sets.
 
-    Sets meet in SLICES passes over ranges of their hashes, whose common shingles add up, so that a pass moves a part of each set only.
+    Sets meet in up to SLICES passes over ranges of their hashes, whose common shingles add up, so that a pass moves a part of each set only.
     """
     names = [f"s{k}" for k in range(SLICES)]
     bounds = np.array([k * (2**64 // SLICES) for k in range(1, SLICES)], np.uint64)
@@ -110,8 +110,13 @@ def _verified(rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     counted = stage(pairs.distinct().select("a", "b", F.lit(0).alias("common"), F.lit(0).alias("all")), "candidates")
     asked = counted.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     sets = stage(rows.join(asked, "row", "left_semi").select("row", of("text").alias("x")).select("row", "x.*"), "sets")
-    for c in names:
-        left, right = (sets.select(F.col("row").alias(x), F.col("n").alias(f"{x}_n"), F.col(c).alias(f"{x}_set")) for x in "ab")
+    # few passes where little is moved: their number bears on time and disk only
+    longs, held = (x or 0 for x in sets.agg(F.sum("n"), F.count("*")).first())
+    moved = 8 * longs * (2 + counted.count() / max(held, 1))
+    step = max(SLICES // max(int(moved // PASS), 1), 1)
+    for k in range(0, SLICES, step):
+        part = F.concat(*names[k : k + step])
+        left, right = (sets.select(F.col("row").alias(x), F.col("n").alias(f"{x}_n"), part.alias(f"{x}_set")) for x in "ab")
         common = F.col("common") + F.size(F.array_intersect("a_set", "b_set"))
         now = stage(counted.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), (F.col("a_n") + F.col("b_n")).alias("all")), "counted")
         discard(counted)
