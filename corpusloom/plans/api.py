@@ -61,7 +61,7 @@ class Corpus:
         bills = bridge.bills(spark, sf_dir).withColumn("status", O.bill_status(F.col("status_text")))
         sections = bridge.sections(spark, sf_dir)
         definitions = sections.select("module_id", "section_id", "doc_id", normal_term("title").alias("term"))
-        return cls(sections, bridge.citations(spark, sf_dir), bills, bridge.outcomes(spark, sf_dir), texts.ordinances(spark, sf_dir), definitions)
+        return cls(sections, bridge.citations(spark, sf_dir), bills, bridge.outcomes(spark, sf_dir, arrivals=True), texts.ordinances(spark, sf_dir), definitions)
 
     def recent_ordinances(self, module: str | None = None, year: int | None = None, limit: int | None = None) -> DataFrame:
         """Ordinances, newest first: by the first known date (unknown ones last), then year, then number; each with how many sections name it."""
@@ -100,10 +100,10 @@ class Corpus:
             case ["bills", file_no, "diff", module, section] if file_no.isdigit() and self.chunks is not None:
                 return self.section_diff(int(file_no), module, section)
             case ["bills", file_no, "changes"] if file_no.isdigit():
-                return self.outcomes.where(F.col("file_no") == int(file_no)).orderBy("position", "section_id")
+                return self.outcomes.drop("arrival").where(F.col("file_no") == int(file_no)).orderBy("position", "section_id")
             case ["bills", file_no, "changes", module, section] if file_no.isdigit():
                 one = self._section(module, section).select(F.col("doc_id").alias("section_id"), "module_id", "title", F.col("text").alias("baseline"))
-                return self.outcomes.where(F.col("file_no") == int(file_no)).join(one, "section_id").orderBy("position")
+                return self.outcomes.drop("arrival").where(F.col("file_no") == int(file_no)).join(one, "section_id").orderBy("position")
             case ["bills", file_no, "impact"] if file_no.isdigit():
                 return self.impact(int(file_no))
             case ["modules"]:

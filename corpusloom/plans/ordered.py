@@ -55,8 +55,8 @@ def sticky_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {OUTCOMES_SQL} SELECT file_no, status, section_id FROM (SELECT *, row_number() OVER (PARTITION BY file_no, status ORDER BY position) AS rn FROM outcomes) WHERE rn = 1""")
 def first_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first outcome of each kind in every bill (first wins)."""
-    return first_seen(bridge.outcomes(spark, sf_dir), ["file_no", "status"], ["position"]).select("file_no", "status", "section_id")
+    """The first outcome of each kind in every bill (first wins; at one position the first in the table)."""
+    return first_seen(bridge.outcomes(spark, sf_dir, arrivals=True), ["file_no", "status"], ["position"]).select("file_no", "status", "section_id")
 
 
 @query("""WITH r AS (SELECT conv_id, turn, role, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM conversations)

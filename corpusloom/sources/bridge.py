@@ -7,7 +7,7 @@ form with the same columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -88,11 +88,16 @@ states AS (SELECT *, CASE status_text WHEN 'Signed by Mayor' THEN 'enacted' WHEN
 """
 
 
-def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Section outcomes: one per line item; file_no, section_id, position, status, words changed."""
+def arrival() -> Column:
+    """Where a row stands in a table as it is read: its file by name, and its number in the file."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+
+
+def outcomes(spark: SparkSession, sf_dir: str, arrivals: bool = False) -> DataFrame:
+    """Section outcomes: one per line item; file_no, section_id, position, status, words changed; with ``arrivals`` also arrival, which puts rows at one position in the table's order."""
     li = table(spark, sf_dir, "lineitem")
     status = F.when(F.col("l_returnflag") == "A", "anchored").when(F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "F", "no_changes").otherwise("added_section")).otherwise(F.when(F.col("l_linenumber") % 3 == 0, "no_baseline").when(F.col("l_linenumber") % 3 == 1, "absorbed_external").otherwise("unresolved"))
-    return li.select(F.col("l_orderkey").alias("file_no"), F.col("l_partkey").alias("section_id"), F.col("l_linenumber").cast("int").alias("position"), status.alias("status"), F.col("l_quantity").cast("long").alias("n_words"))
+    return li.select(F.col("l_orderkey").alias("file_no"), F.col("l_partkey").alias("section_id"), F.col("l_linenumber").cast("int").alias("position"), status.alias("status"), F.col("l_quantity").cast("long").alias("n_words"), *([arrival().alias("arrival")] if arrivals else []))
 
 
 OUTCOMES_SQL = """
