@@ -52,8 +52,9 @@ def with_diffs(outcomes: DataFrame, chunks: DataFrame, bills: DataFrame) -> Data
     """Bills (section_id, file_no) that show a diff for a section: its first outcome in the bill changes or adds it, the bill's diff has
     chunks of it, and the bill is more than a body.
 
-    ``outcomes``: file_no, section_id, position, status; ``chunks``: file_no, section_id; ``bills``: file_no, parse_status.
+    ``outcomes``: file_no, section_id, position, status and, to tell rows at one position apart, arrival; ``chunks``: file_no, section_id; ``bills``: file_no, parse_status.
     """
-    first = outcomes.groupBy("file_no", "section_id").agg(F.min_by("status", "position").alias("status")).where("status in ('anchored', 'added_section')")
+    order = F.struct("position", "arrival") if "arrival" in outcomes.columns else F.col("position")
+    first = outcomes.groupBy("file_no", "section_id").agg(F.min_by("status", order).alias("status")).where("status in ('anchored', 'added_section')")
     shown = first.join(chunks.select("file_no", "section_id").distinct(), ["file_no", "section_id"], "left_semi")
     return shown.join(bills.where("parse_status = 'body_only'").select("file_no"), "file_no", "left_anti").select("section_id", "file_no")

@@ -27,7 +27,7 @@ def filtered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT section_id, file_no FROM f WHERE status IN ('anchored', 'added_section') AND chunk AND file_no % 13 > 0""")
 def bills_with_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bills that show a diff for a section."""
-    o = bridge.outcomes(spark, sf_dir)
+    o = bridge.outcomes(spark, sf_dir, arrivals=True)
     chunks = o.where("n_words % 4 > 0").select("file_no", "section_id")
     bills = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_no"), F.expr("CASE WHEN o_orderkey % 13 = 0 THEN 'body_only' ELSE 'ok' END").alias("parse_status"))
     return L.with_diffs(o, chunks, bills)

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import references
+from corpusloom.operators import lookups, references
 from corpusloom.plans import catalog
 
 ROWS = [(1, 10, 1, s, n) for n, s in enumerate(["unresolved", "anchored", "no_changes", "added_section"] * 3)]
@@ -21,7 +21,14 @@ def test_first_seen_by_arrival(spark):
     assert [r["status"] for r in got.collect()] == ["unresolved"]
 
 
-@pytest.mark.parametrize("name", ["first_outcomes"])
+def test_first_status_by_arrival(spark):
+    chunks = spark.createDataFrame([(1, 10)], "file_no long, section_id long")
+    bills = spark.createDataFrame([(1, "ok")], "file_no long, parse_status string")
+    assert lookups.with_diffs(tied(spark), chunks, bills).count() == 0
+    assert lookups.with_diffs(tied(spark).where("status <> 'unresolved'"), chunks, bills).count() == 1
+
+
+@pytest.mark.parametrize("name", ["first_outcomes", "bills_with_diffs"])
 def test_ties_against_sql(spark, name):
     folder = "/root/testdata/sf0.01"
     c = duckdb.connect()
