@@ -80,9 +80,12 @@ def resolve_definitions(occurrences: DataFrame, definitions: DataFrame) -> DataF
     empty = F.array().cast("array<string>")
     places = occurrences.select("occ_id", "term", F.explode(F.concat(F.array(empty), prefixes(F.col("hierarchy")))).alias("scope"))
     scoped = definitions.where(F.col("scope_kind").isin("module", "hierarchy")).withColumn("scope", F.when(F.col("scope_kind") == "module", empty).otherwise(F.col("scope_prefix")))
-    found = places.join(scoped.where("scope_kind = 'module' or size(scope) > 0"), ["term", "scope"])
-    best = F.min_by(F.struct("def_id", "scope_kind"), F.struct(F.when(F.col("scope_kind") == "hierarchy", 0).otherwise(1), -F.size("scope"), "defined_in", "def_id"))
-    return found.groupBy("occ_id", "term").agg(best.alias("best"), (F.count("*") - 1).alias("n_dropped")).select("occ_id", "term", "best.def_id", "best.scope_kind", "n_dropped")
+    # the definitions of one scope are counted first, so that an occurrence meets one row per scope, however many define its term
+    order = F.struct(F.when(F.col("scope_kind") == "hierarchy", 0).otherwise(1).alias("rank"), (-F.size("scope")).alias("depth"), "defined_in", "def_id")
+    firsts = scoped.where("scope_kind = 'module' or size(scope) > 0").groupBy("term", "scope").agg(F.min(order).alias("o"), F.count("*").alias("n"))
+    found = places.join(firsts, ["term", "scope"])
+    kind = F.when(F.col("o.rank") == 0, "hierarchy").otherwise("module")
+    return found.groupBy("occ_id", "term").agg(F.min("o").alias("o"), (F.sum("n") - 1).alias("n_dropped")).select("occ_id", "term", "o.def_id", kind.alias("scope_kind"), "n_dropped")
 
 
 def disambiguate(citing: DataFrame, family: DataFrame) -> DataFrame:
