@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import segments
+from corpusloom.operators import definitions, segments
 from corpusloom.plans import catalog
 
 
@@ -48,3 +48,13 @@ def test_formats_meet_few_leaves():
     cut = [(Counted(k), Counted(k + 1), "citation", None) for k in range(n)]
     segments.nested("x" * n, cut, [(Counted(k), Counted(k + 1), "bold") for k in range(n)])
     assert Counted.seen < 40 * n
+
+
+def test_a_common_term_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(definitions, "EACH", 8, raising=False)
+    rows = spark.range(100).select(F.lit("The  One").alias("term"), F.lit("m").alias("module_id"), F.col("id").cast("string").alias("defined_in"))
+    uses = spark.createDataFrame([(1, " the one"), (2, "other"), (3, None), (4, "THE ONE")], "section_key long, term string")
+    made = definitions.terms_defined(uses, rows)
+    got = sorted((r["section_key"], r["defined_in"] or "") for r in made.collect())
+    assert got == sorted([(k, str(n)) for k in (1, 4) for n in range(100)] + [(2, ""), (3, "")])
+    assert "_part" in plan_of(made)
