@@ -58,3 +58,8 @@ def test_a_common_term_is_dealt_out(spark, monkeypatch):
     got = sorted((r["section_key"], r["defined_in"] or "") for r in made.collect())
     assert got == sorted([(k, str(n)) for k in (1, 4) for n in range(100)] + [(2, ""), (3, "")])
     assert "_part" in plan_of(made)
+
+
+def test_references_are_read_once(spark, sf_dir):
+    assert plan_of(catalog.QUERIES["bound_citations"](spark, sf_dir)).count("l_suppkey#") and plan_of(catalog.QUERIES["bound_citations"](spark, sf_dir)).count("Relation [l_orderkey") == 1
+    assert "Relation [l_orderkey" not in plan_of(catalog.QUERIES["gate_lost_anchors"](spark, sf_dir))
