@@ -1,10 +1,12 @@
 """Steps that are made once, not once for each that reads them, and work that is dealt out."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import definitions, segments
+from corpusloom.functions import matcher
+from corpusloom.operators import citations, definitions, external, segments
 from corpusloom.plans import catalog
 
 
@@ -63,3 +65,21 @@ def test_a_common_term_is_dealt_out(spark, monkeypatch):
 def test_references_are_read_once(spark, sf_dir):
     assert plan_of(catalog.QUERIES["bound_citations"](spark, sf_dir)).count("l_suppkey#") and plan_of(catalog.QUERIES["bound_citations"](spark, sf_dir)).count("Relation [l_orderkey") == 1
     assert "Relation [l_orderkey" not in plan_of(catalog.QUERIES["gate_lost_anchors"](spark, sf_dir))
+
+
+def test_beginnings():
+    assert matcher.beginnings(citations.PATTERNS[0]) == {"§", "section", "sec."}
+    assert matcher.beginnings(r"\bC\.?V\.?C\.?\b") == {"cvc", "c.vc", "cv.c", "c.v.c"}
+    assert matcher.beginnings(r"[ab]c") == matcher.beginnings(r"a[bc]") == matcher.beginnings(r"x*ab") == set()
+
+
+def test_matches_at_beginnings_against_a_plain_version():
+    patterns = [*citations.PATTERNS, *(p for _, _, ps in external.REGISTRY for p in ps), r"(?:ab|abc|[xy])d", r"(a)?bc", r"É+t", "aa"]
+    m = matcher.Matcher(patterns)
+    assert not matcher.Matcher(citations.PATTERNS).always
+    r = random.Random(5)
+    words = ["§", "§§ ", "Section ", "SECTIONS 1.2", "sec. 3", "7A.1(b)", " 12-13", "C.V.C.", "cvc", "USC", "U.S.C.", "Cal. Civ. Code", "civil  code", "Article 5", "subsection (a)(2)", "İ", "K", "ſection 1", "ÉÉt", "abc", "abd", "aaaa", "bc", "xd", " ", "\n", "and ", "to ", "Bus. & Prof. Code"]
+    for _ in range(600):
+        text = "".join(r.choices(words, k=r.randint(0, 12)))
+        want = [(k, x.span()) for k, rule in enumerate(m.rules) for x in re.finditer(rule, text)]
+        assert [(k, x.span()) for k, x in m.find(text)] == want, text
