@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpusloom.functions import matcher
-from corpusloom.operators import citations, definitions, external, segments
+from corpusloom.operators import citations, definitions, external, redline, segments
 from corpusloom.plans import catalog
 
 
@@ -83,3 +83,19 @@ def test_matches_at_beginnings_against_a_plain_version():
         text = "".join(r.choices(words, k=r.randint(0, 12)))
         want = [(k, x.span()) for k, rule in enumerate(m.rules) for x in re.finditer(rule, text)]
         assert [(k, x.span()) for k, x in m.find(text)] == want, text
+
+
+def test_letters_against_a_pattern():
+    r = random.Random(7)
+    for _ in range(2000):
+        text, part = "".join(r.choices("ab \n ", k=r.randint(0, 14))), "".join(r.choices("ab \t", k=r.randint(0, 3)))
+        start, letters = r.randint(0, len(text)), "".join(part.split())
+        m = re.compile(r"\s*".join(re.escape(c) for c in letters)).search(text, start)
+        assert redline.Letters(text).find(part, start) == ((start, start) if not letters else m and m.span()), (text, part, start)
+
+
+def test_named_sections_are_written(spark, sf_dir):
+    for name in ("section_chunks", "section_outcomes", "section_bodies"):
+        plan = plan_of(catalog.QUERIES[name](spark, sf_dir))
+        assert "l_orderkey" not in plan, name
+    assert plan_of(catalog.QUERIES["section_chunks"](spark, sf_dir)).count("ArrowEvalPython") == 2
