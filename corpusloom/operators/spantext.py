@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,24 +95,37 @@ def run_texts(runs: DataFrame) -> DataFrame:
     ``runs``: doc, run (order), text, has_eol. A run is followed by a line feed where it has one, else by a space unless it ends in
     one; white space before a line feed goes.
     """
-    one = F.struct("run", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("has_eol", F.lit(False)).alias("eol"))
+    one = F.struct(F.col("run").cast("long").alias("run"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("has_eol", F.lit(False)).alias("eol"))
     held = runs.groupBy("doc").agg(F.array_sort(F.collect_list(one)).alias("runs"))
-    after = lambda r: F.when(r["eol"], "\n").when(r["text"].endswith(" "), "").otherwise(" ")
-    pieces = F.transform("runs", lambda r: F.concat(r["text"], after(r)))
-    held = held.select("doc", "runs", F.array_join(pieces, "").alias("raw"), running_sums(F.transform(pieces, F.length)).alias("ends"))
-    starts = F.zip_with("runs", "ends", lambda r, e: F.named_struct(F.lit("run"), r["run"], F.lit("start"), e - F.length(F.concat(r["text"], after(r))), F.lit("size"), F.length(r["text"])))
-
-    @F.pandas_udf("struct<text:string,ranges:array<struct<run:long,start:int,end:int>>>")
-    def of(raws: pd.Series, places: pd.Series) -> pd.DataFrame:
-        texts, ranges = [], []
-        for raw, own in zip(raws, places, strict=True):
-            joined = offsets.without(raw, _TRAILING)
+    schema = f"doc {runs.schema['doc'].dataType.simpleString()}, text string, ranges array<struct<run:bigint,start:int,end:int>>"
+    return held.mapInArrow(_run_texts, schema)
+
+
+def _run_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column("runs")
+        rows = lists.flatten()
+        names, texts, eols = (rows.field(k).to_pylist() for k in range(3))
+        bounds = pc.list_value_length(lists).to_pylist()
+        made, ranges, ends, k = [], [], [0], 0
+        for n in bounds:
+            parts, own, at = [], [], 0
+            for k in range(k, k + n):
+                text = texts[k]
+                after = "\n" if eols[k] else "" if text.endswith(" ") else " "
+                parts += [text, after]
+                own.append((names[k], at, at + len(text)))
+                at += len(text) + len(after)
+            k += n > 0
+            joined = offsets.without("".join(parts), _TRAILING)
             m = joined.then(without_chrome(joined.text))
-            texts.append(m.text)
-            ranges.append([{"run": r["run"], "start": a, "end": b} for r in own for a, b in m.stretches(r["start"], r["start"] + r["size"])])
-        return pd.DataFrame({"text": texts, "ranges": pd.Series(ranges, dtype=object)})
-
-    return held.select("doc", of("raw", starts).alias("x")).select("doc", "x.text", "x.ranges")
+            made.append(m.text)
+            ranges += [(run, a, b) for run, start, end in own for a, b in m.stretches(start, end)]
+            ends.append(len(ranges))
+        columns = list(zip(*ranges, strict=True)) or [()] * 3
+        kinds = (("run", pa.int64()), ("start", pa.int32()), ("end", pa.int32()))
+        told = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[c for c, _ in kinds])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(made, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), told)], names=["doc", "text", "ranges"])
 
 
 #: White space, inside a class: ASCII's and Unicode's; BLANK is without line feeds.

@@ -119,9 +119,13 @@ k AS (SELECT *, {_KEPT} AS kept, sum(length({_KEPT})) OVER (PARTITION BY doc ORD
 SELECT doc, CAST(l_linenumber AS BIGINT) AS run, CAST(start AS INTEGER) AS start, CAST(start + length(rtrim(kept, chr(10))) AS INTEGER) AS stop, rtrim(kept, chr(10)) AS text FROM k WHERE kept <> ''""")
 def run_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each run of a bill's pages stands in its text without chrome."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
-    long = li.groupBy("l_orderkey").agg(F.max("l_linenumber").alias("m")).where("m >= 3").select("l_orderkey")
-    runs = li.join(long, "l_orderkey").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("run"), F.expr(_RUN).alias("text"), F.lit(True).alias("has_eol"))
+    from pyspark.sql import Window
+
+    # dealt out by order once, for all that follows
+    li = table(spark, sf_dir, "lineitem").where("l_orderkey is not null").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey")
+    li = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    long = li.withColumn("m", F.max("l_linenumber").over(Window.partitionBy("l_orderkey"))).where("m >= 3")
+    runs = long.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("run"), F.expr(_RUN).alias("text"), F.lit(True).alias("has_eol"))
     made = spantext.run_texts(runs).select("doc", "text", F.explode("ranges").alias("r"))
     return made.select("doc", "r.run", "r.start", F.col("r.end").alias("stop"), F.substr("text", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("text"))
 

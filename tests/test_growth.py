@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import matcher
+from corpusloom.functions import matcher, offsets
 from corpusloom.operators import citations, definitions, external, redline, segments
 from corpusloom.plans import catalog
 
@@ -99,3 +99,13 @@ def test_named_sections_are_written(spark, sf_dir):
         plan = plan_of(catalog.QUERIES[name](spark, sf_dir))
         assert "l_orderkey" not in plan, name
     assert plan_of(catalog.QUERIES["section_chunks"](spark, sf_dir)).count("ArrowEvalPython") == 2
+
+
+def test_runs_are_dealt_out_once(spark, sf_dir):
+    plan = catalog.QUERIES["run_ranges"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_an_edit_that_changes_nothing_leaves_a_map():
+    m = offsets.without("a bb c", re.compile("b+"))
+    assert m.then(offsets.without(m.text, re.compile("x"))) is m
