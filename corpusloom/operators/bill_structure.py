@@ -1,15 +1,19 @@
 """The structure of a bill's whole text: the codes that it amends, the sections inside each, and their paragraphs.
 
-Markers are found with their places, one row each; ranges come from windows over a bill's markers, so that they are
+A bill's markers are found in one pass over its text, and its ranges come from them in order, so that they are
 nested and disjoint; blocks are the ranges' texts cut at blank lines and labels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import bisect
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators import grammar
 from corpusloom.operators.spantext import BLANK, WHITE
 
 _W = f"[{WHITE}]"
@@ -45,86 +49,188 @@ def structural_action(text: Column) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in STRUCTURAL))
 
 
-def _marks(text: Column) -> Column:
-    """All markers of a text: array of struct(kind, start, after, whole, amends); and one for the bill itself, before all others."""
+#: What ``^`` and ``$`` mean in the patterns above: lines end with a line feed, a carriage return, both, or one of Unicode's separators.
+_LINE, _END = "(?:(?<![^\n\x85\u2028\u2029])|(?<=\r)(?!\n))", "(?=[\r\x85\u2028\u2029]|(?<!\r)\n|\\Z)"
+
+
+def _rule(pattern: str, line: str = _LINE) -> re.Pattern:
+    """A pattern of lines, by default at a line's start, as Python reads it; its digits and white space are ASCII's."""
+    own = pattern.removeprefix("(?m)^")
+    own = own.removesuffix("$") + _END if own.endswith("$") else own
+    return re.compile(line + own.replace(r"\d", "[0-9]").replace(r"\s", r" \t\n\r\f\v"))
+
+
+_STARTS = _rule(_LINE)
+#: What every marker holds after white space or a number at a line's start, and the kinds of markers by that word.
+_WORD = re.compile(r"SEC(?:TION|\.)|Section|A(?:RTICLE|PPROVED)")
+_RULES = {"group": _rule(AMEND), "header": _rule(HEADER), "article": _rule(ARTICLE), "closing": _rule(CLOSING)}
+_KINDS = {"Section": ("group", "header", "closing"), "SECTION": ("header",), "SEC.": ("header",), "ARTICLE": ("article",), "APPROVED": ("closing",)}
+_INDENT, _AMENDED, _NUMBER, _SPACES = _rule(f"{_W}*", ""), _rule(AMENDED, ""), _rule(rf"Section{_W}+(\d+[A-Z]?)\.", ""), _rule(f"{_W}+", "")
+_WHITE = frozenset(c for c in map(chr, range(0x10000)) if _SPACES.fullmatch(c))
+_LABEL, _BREAK, _GAP = re.compile(LABEL, re.ASCII), _rule(rf"(?=[{BLANK}]*(?ai:{LABEL.removeprefix(f'(?i)^{_W}*')}))"), re.compile(rf"\n(?:[{BLANK}]*\n)+")
+
+
+def _white(text: str, at: int) -> int:
+    """Where the white space begins that ends at a place."""
+    while at and text[at - 1] in _WHITE:
+        at -= 1
+    return at
+
+
+def _marks(text: str) -> dict[str, list[re.Match]]:
+    """All matches of each kind of marker from left to right; patterns are tried only where one of their words leads a line."""
+    found: dict[str, list[re.Match]] = {kind: [] for kind in _RULES}
+    for word in _WORD.finditer(text):
+        # an article's line may begin with white space, that of a form's approval with nothing, all others with a number too
+        low = word.start() if word[0] == "APPROVED" else _white(text, word.start())
+        if low < word.start() and word[0] != "ARTICLE":
+            digits = low
+            while digits and text[digits - 1] in "0123456789":
+                digits -= 1
+            low = _white(text, digits) if digits < low else low
+        for kind in _KINDS[word[0]]:
+            # the match before may go into this one's white space, or over it
+            past = max(low, found[kind][-1].end() if found[kind] else 0)
+            line = _STARTS.search(text, past, word.start() + 1) if past <= word.start() else None
+            if line and line.start() <= word.start() and (m := _RULES[kind].match(text, line.start())):
+                found[kind].append(m)
+    return found
+
+
+#: A range: kind, group_no, header_no, number, name, start, after, end.
+_Range = tuple[str, int | None, int | None, str | None, str | None, int, int | None, int]
+
+
+def _ranged(text: str) -> list[_Range]:
+    """The ranges of one text, from its markers in order: preamble and closing, then groups and their headers."""
+    found, size = _marks(text), len(text)
+    starts = [m.start() for m in found["group"]]
+    if not starts:
+        return [("preamble", None, None, None, None, 0, None, size)]
+    closing = size
+    for m in found["closing"]:
+        at = _INDENT.match(m[0]).end() + m.start()
+        if at >= starts[-1] and not _AMENDED.search(text[at : at + 300]):
+            closing = at
+            break
+    out: list[_Range] = [("preamble", None, None, None, None, 0, None, starts[0]), ("closing", None, None, None, None, closing, None, size)]
+    inside: list[list[re.Match]] = [[] for _ in starts]
+    for m in found["header"]:
+        if m.start() >= starts[0]:
+            inside[bisect.bisect_right(starts, m.start()) - 1].append(m)
+    articles = [m.start() for m in found["article"]]
+    for k, m in enumerate(found["group"]):
+        follows = starts[k + 1] if k + 1 < len(starts) else None
+        end = closing if follows is None else follows
+        out.append(("group", k + 1, None, _NUMBER.search(m[0])[1], f"{m[1].strip(' ')} {m[2]}".strip(" "), m.start(), m.end(), end))
+        for n, h in enumerate(inside[k]):
+            until = inside[k][n + 1].start() if n + 1 < len(inside[k]) else size if follows is None else follows
+            nth = bisect.bisect_right(articles, h.start())
+            if nth < len(articles) and h.end() < articles[nth] < until:
+                until = articles[nth]
+            out.append(("header", k + 1, n + 1, h[1], _SPACES.sub(" ", h[2]).strip(" "), h.start(), h.end(), min(until, end)))
+    return out
+
 
-    def of(kind: str, pattern: str) -> Column:
-        def mark(h: Column) -> Column:
-            line = h["start"] + F.length(h["whole"]) - F.length(F.regexp_replace(h["whole"], f"^{_W}+", ""))
-            start = line if kind == "closing" else h["start"]
-            amends = F.substr(text, line + 1, F.lit(300)).rlike(AMENDED) if kind == "closing" else F.lit(False)
-            return F.named_struct(F.lit("kind"), F.lit(kind), F.lit("start"), start, F.lit("after"), h["start"] + F.length(h["whole"]), F.lit("whole"), h["whole"], F.lit("amends"), amends)
+def _with_raw(text: str, found: list[_Range]) -> list[tuple]:
+    """Ranges, each with the text that its blocks are made of: a group's ends where its first header begins, a header's begins after its title."""
+    firsts = {r[1]: r[5] for r in reversed(found) if r[0] == "header"}
+    return [(*r, text[r[6] if r[0] == "header" else r[5] : firsts.get(r[1], r[7]) if r[0] == "group" else r[7]]) for r in found]
 
-        return F.transform(grammar.hits(text, pattern), mark)
 
-    bill = F.array(F.named_struct(F.lit("kind"), F.lit("bill"), F.lit("start"), F.lit(-1), F.lit("after"), F.lit(-1), F.lit("whole"), F.lit(""), F.lit("amends"), F.lit(False)))
-    return F.concat(bill, of("group", AMEND), of("header", HEADER), of("article", ARTICLE), of("closing", CLOSING))
+_SHAPE = {"kind": pa.string(), "group_no": pa.int32(), "header_no": pa.int32(), "number": pa.string(), "name": pa.string(), "start": pa.int32(), "after": pa.int32(), "end": pa.int32(), "raw": pa.string()}
 
 
-def ranges(bills: DataFrame) -> DataFrame:
-    """Ranges of every bill's whole text: file_no, kind, group_no, header_no, number, name, start, after, end.
+def ranges(bills: DataFrame, raw: bool = False) -> DataFrame:
+    """Ranges of every bill's whole text: file_no, kind, group_no, header_no, number, name, start, after, end; with ``raw`` also raw,
+    the text that :func:`blocks` makes of each, so that it need not be cut out of the whole text again.
 
     ``bills``: file_no, text. Kinds: preamble (up to the first group; all of a bill without groups), group (a code that is amended:
     name), header (a section inside a group: number and title; ``after`` is where the title ends) and closing. Ends are
-    exclusive. An article's line ends the section before it. Null texts have no ranges. Texts are read once, and all windows share one
-    shuffle of the markers.
+    exclusive. An article's line ends the section before it. Null texts have no ranges. Each text is read once, where it is; nothing is shuffled.
     """
-    rows = bills.where("text is not null").select("file_no", F.length("text").alias("size"), F.explode(_marks(F.col("text"))).alias("m")).select("file_no", "size", "m.*")
-    is_ = lambda kind: F.col("kind") == kind
-    only = lambda kind, c="start": F.when(is_(kind), F.col(c))
-    bill = Window.partitionBy("file_no")
-    # where markers begin together, the code's comes first
-    order = (F.col("start"), F.when(is_("group"), 0).otherwise(1))
-    rows = rows.withColumns({"group_no": F.sum(is_("group").cast("int")).over(bill.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), "first": F.min(only("group")).over(bill), "last": F.max(only("group")).over(bill)})
-    rows = rows.withColumns({"next_group": F.min(only("group")).over(bill.orderBy(*order).rowsBetween(1, Window.unboundedFollowing)), "closing": F.min(F.when(is_("closing") & ~F.col("amends") & (F.col("start") >= F.col("last")), F.col("start"))).over(bill)})
-    rows = rows.withColumn("closing", F.coalesce("closing", "size")).where("kind in ('bill', 'group') or (kind in ('header', 'article') and group_no > 0)")
-    inside = Window.partitionBy("file_no", "group_no").orderBy(*order)
-    following = inside.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumns({"article": F.min(only("article")).over(following), "next_header": F.min(only("header")).over(following), "header_no": F.sum(is_("header").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0))})
-    group_end = F.coalesce("next_group", "closing")
-    until = F.coalesce("next_header", "next_group", "size")
-    until = F.when((F.col("article") > F.col("after")) & (F.col("article") < until), F.col("article")).otherwise(until)
-
-    def made(kind: str, group_no, header_no, number, name, start, after, end) -> Column:
-        values = {"kind": F.lit(kind), "group_no": group_no, "header_no": header_no, "number": number, "name": name, "start": start, "after": after, "end": end}
-        types = {"kind": "string", "number": "string", "name": "string"}
-        return F.struct(*[(F.lit(None) if v is None else v).cast(types.get(k, "int")).alias(k) for k, v in values.items()])
-
-    whole, start, after, size, closing, group_no = (F.col(c) for c in ("whole", "start", "after", "size", "closing", "group_no"))
-    code = F.trim(F.concat_ws(" ", F.trim(F.regexp_extract(whole, AMEND, 1)), F.regexp_extract(whole, AMEND, 2)))
-    group = made("group", group_no, None, F.regexp_extract(whole, rf"Section{_W}+(\d+[A-Z]?)\.", 1), code, start, after, group_end)
-    header = made("header", group_no, F.col("header_no"), F.trim(F.regexp_extract(whole, HEADER, 1)), _squeezed(F.regexp_extract(whole, HEADER, 2)), start, after, F.least(until, group_end))
-    ends = [made("preamble", None, None, None, None, F.lit(0), None, F.coalesce("first", size)), made("closing", None, None, None, None, closing, None, size)]
-    told = F.when(is_("bill"), F.when(F.col("first").isNull(), F.array(ends[0])).otherwise(F.array(*ends))).when(is_("group"), F.array(group)).when(is_("header"), F.array(header))
-    return rows.where("kind <> 'article'").select("file_no", F.explode(told).alias("r")).select("file_no", "r.*")
+    names = [c for c in _SHAPE if raw or c != "raw"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # large texts' pieces go on before the next texts are read
+            for at in range(0, batch.num_rows, 1024):
+                some, places, out = batch.slice(at, 1024), [], []
+                for k, text in enumerate(some.column(1).to_pylist()):
+                    found = _ranged(text)
+                    out += _with_raw(text, found) if raw else found
+                    places += [k] * len(found)
+                columns = list(zip(*out, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(places, pa.int32())), *(pa.array(c, _SHAPE[n]) for c, n in zip(columns, names, strict=True))], names=["file_no", *names])
+
+    key = bills.schema["file_no"].dataType.simpleString()
+    kinds = ", ".join(f"`{n}` {'string' if _SHAPE[n] == pa.string() else 'int'}" for n in names)
+    return bills.where("text is not null").select("file_no", "text").mapInArrow(run, f"file_no {key}, {kinds}")
+
+
+def _cut(raw: str) -> list[tuple[int, str | None, int | None, str | None]]:
+    """A section's paragraphs as (place, marker, subsection, text): cut at blank lines and before labels, each under the last label and its number among the labels."""
+    out, marker, n = [], None, 0
+    for place, part in enumerate(_GAP.split(_BREAK.sub("\n", raw)), 1):
+        label = _LABEL.match(part)
+        if label:
+            marker, n, part = label[1], n + 1, part[label.end():]
+        text = _SPACES.sub(" ", part).strip(" ") or None
+        if text or label:
+            out.append((place, marker, n or None, text))
+    return out
+
+
+_PARAGRAPH = {"place": pa.int32(), "marker": pa.string(), "subsection": pa.int32(), "text": pa.string()}
+_PARAGRAPHS = "array<struct<place:int,marker:string,subsection:int,text:string>>"
+
+
+def _paragraphs(raw: Column) -> Column:
+    """Per raw text its paragraphs; null for null."""
+
+    @F.arrow_udf(_PARAGRAPHS)
+    def of(texts: pa.Array) -> pa.Array:
+        ends, out = [0], []
+        for text in texts.to_pylist():
+            out += _cut(text) if text is not None else []
+            ends.append(len(out))
+        columns = list(zip(*out, strict=True)) or [()] * len(_PARAGRAPH)
+        told = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _PARAGRAPH.values(), strict=True)], names=list(_PARAGRAPH))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), told, mask=texts.is_null())
+
+    return of(raw)
 
 
 def blocks(bills: DataFrame, found: DataFrame) -> DataFrame:
     """The blocks of bills: file_no, group_no, header_no, place, kind, number (of a header), marker, subsection, text.
 
-    ``found`` of :func:`ranges`. Kinds: preamble, action and closing (reflowed), code_section_header (text: its title) and paragraph; a
-    paragraph under a label has it as ``marker`` and its number among the labels as ``subsection``, and a label without text has a null text.
+    ``found`` of :func:`ranges`; if it has ``raw``, texts are not read again. Kinds: preamble, action and closing (reflowed), code_section_header
+    (text: its title) and paragraph; a paragraph under a label has it as ``marker`` and its number among the labels as
+    ``subsection``, and a label without text has a null text. All blocks of a range come from its row.
     """
-    texts = bills.select("file_no", "text").where("text is not null")
-    cut = lambda rows, a, b: F.substr("text", F.col(a) + 1, F.col(b) - F.col(a))
-    held = found.join(texts, "file_no")
-    none = F.lit(None)
-    shape = ("file_no", "group_no", "header_no", "place", "kind", "number", "marker", "subsection", "text")
-    ends = held.where("kind in ('preamble', 'closing')").select("file_no", "group_no", "header_no", F.lit(0).alias("place"), "kind", none.cast("string").alias("number"), none.cast("string").alias("marker"), none.cast("int").alias("subsection"), reflowed(cut(held, "start", "end")).alias("text"))
-    firsts = found.where("kind = 'header'").groupBy("file_no", "group_no").agg(F.min("start").alias("first"))
-    groups = held.where("kind = 'group'").join(firsts, ["file_no", "group_no"], "left").withColumn("until", F.coalesce("first", "end"))
-    actions = groups.select("file_no", "group_no", "header_no", F.lit(0).alias("place"), F.lit("action").alias("kind"), none.cast("string").alias("number"), none.cast("string").alias("marker"), none.cast("int").alias("subsection"), reflowed(cut(groups, "start", "until")).alias("text"))
-    heads = found.where("kind = 'header'").select("file_no", "group_no", "header_no", F.lit(0).alias("place"), F.lit("code_section_header").alias("kind"), "number", none.cast("string").alias("marker"), none.cast("int").alias("subsection"), F.col("name").alias("text"))
-    label = LABEL.removeprefix(f"(?i)^{_W}*")
-    bodies = held.where("kind = 'header'").select("file_no", "group_no", "header_no", F.posexplode(paragraphs(cut(held, "after", "end"), f"(?i:{label})")).alias("place", "raw"))
-    here = Window.partitionBy("file_no", "group_no", "header_no").orderBy("place")
-    marker = F.nullif(F.regexp_extract("raw", LABEL, 1), F.lit(""))
-    bodies = bodies.withColumn("own", marker).withColumns({"marker": F.last("own", True).over(here), "subsection": F.nullif(F.sum(F.col("own").isNotNull().cast("int")).over(here), F.lit(0)).cast("int"), "text": F.nullif(_squeezed(F.regexp_replace("raw", LABEL, "")), F.lit(""))})
-    bodies = bodies.where("text is not null or own is not null").withColumns({"place": F.col("place") + 1, "kind": F.lit("paragraph"), "number": none.cast("string")})
-    out = ends.select(*shape)
-    for part in (actions, heads, bodies):
-        out = out.unionByName(part.select(*shape))
-    return out
+    if "raw" not in found.columns:
+        firsts = found.where("kind = 'header'").groupBy("file_no", "group_no").agg(F.min("start").alias("first"))
+        held = found.join(bills.select("file_no", "text").where("text is not null"), "file_no").join(firsts, ["file_no", "group_no"], "left")
+        a, b = F.when(F.col("kind") == "header", F.col("after")).otherwise(F.col("start")), F.when(F.col("kind") == "group", F.coalesce("first", "end")).otherwise(F.col("end"))
+        found = held.select(*found.columns, F.substr("text", a + 1, b - a).alias("raw"))
+    header = F.col("kind") == "header"
+    # a title is a block before its paragraphs, any other range is one block
+    one = F.array(F.struct(F.lit(0).alias("place"), F.lit(None).cast("string").alias("marker"), F.lit(None).cast("int").alias("subsection"), F.when(header, F.col("name")).otherwise(F.col("raw")).alias("text")))
+    cut = found.withColumn("p", _paragraphs(F.when(header, F.col("raw"))))
+    # an inner explode would have the paragraphs cut a second time, for a filter on their number
+    rows = cut.select("file_no", "group_no", "header_no", "kind", "number", F.explode_outer(F.concat(one, F.coalesce("p", F.array().cast(_PARAGRAPHS)))).alias("b")).where("b is not null")
+    rows = rows.select("file_no", "group_no", "header_no", "kind", "number", "b.*")
+    titled = header & (F.col("place") == 0)
+    kind = F.when(titled, "code_section_header").when(header, "paragraph").when(F.col("kind") == "group", "action").otherwise(F.col("kind"))
+    return rows.select("file_no", "group_no", "header_no", "place", kind.alias("kind"), F.when(titled, F.col("number")).alias("number"), "marker", "subsection", F.when(header, F.col("text")).otherwise(reflowed(F.col("text"))).alias("text"))
+
+
+def sections(found: DataFrame) -> DataFrame:
+    """The sections inside bills' codes, a row each: file_no, group_no, header_no, number, title, paragraphs (place, marker, subsection, text), which are those of :func:`blocks`.
+
+    ``found`` of :func:`ranges` with ``raw``.
+    """
+    return found.where("kind = 'header'").select("file_no", "group_no", "header_no", "number", F.col("name").alias("title"), _paragraphs(F.col("raw")).alias("paragraphs"))
 
 
 def gated(made: DataFrame, found: DataFrame) -> DataFrame:

@@ -381,10 +381,11 @@ UNION ALL SELECT 0, 'preamble', '[Codes - Order ' || f || ']' || {_P} || 'Ordina
 UNION ALL SELECT DISTINCT 2147483647, 'closing', 'Section 99. Effective Date. In force at once.' || {_P} || 'APPROVED AS TO FORM: Clerk ' || o_custkey FROM x""")
 def read_proposed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the first bill with amendments proposes."""
-    bills = structure.bill_texts(spark, sf_dir)
     corpus = Corpus.of(spark, sf_dir)
-    corpus.blocks = bill_structure.blocks(bills, bill_structure.ranges(bills))
     first = table(spark, sf_dir, "lineitem").agg(F.min("l_orderkey")).first()[0]
+    # of all bills only the one that the path names is read
+    bills = structure.bill_texts(spark, sf_dir).where(F.col("file_no") == first)
+    corpus.blocks = bill_structure.blocks(bills, bill_structure.ranges(bills, raw=True))
     return corpus.read(f"/bills/{first}/proposed-text")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +35,18 @@ def _sql(text: str) -> str:
     return text.replace("\\n", "' || chr(10) || '").replace("concat(", "concat(")
 
 
+def _of_item(piece: str) -> str:
+    """A line item's expression inside a list of them: its columns are fields of x, its number there is n."""
+    return re.sub(r"\bl_(\w+)", r"x.l_\1", piece).replace("k = 1", "n = 0")
+
+
 def bill_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bills' texts, dealt out by the shuffle that makes them: a broadcast of them would leave the work on them to the tasks that read the orders."""
-    from pyspark.sql import Window
-
-    li = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
-    piece = F.expr(f"concat(CASE WHEN {_OPENS} THEN {_ACTION} ELSE '' END, {_HEAD}, {_BODY}, {_ARTICLE})")
-    parts = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", piece.alias("p")))), lambda x: x["p"]), "").alias("body"))
+    # numbers cross the network, texts are made where a bill's come together
+    items = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("items")
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(items)
+    piece = F.expr(f"transform(items, (x, n) -> {_of_item(f"concat(CASE WHEN {_OPENS} THEN {_ACTION} ELSE '' END, {_HEAD}, {_BODY}, {_ARTICLE})")})")
+    parts = li.select("l_orderkey", F.array_join(piece, "").alias("body"))
     o = table(spark, sf_dir, "orders")
     held = o.join(parts.hint("merge"), o.o_orderkey == parts.l_orderkey, "left")
     return held.select(F.col("o_orderkey").alias("file_no"), F.when(F.col("body").isNull(), F.expr(_PREAMBLE)).otherwise(F.concat(F.expr(_PREAMBLE), "body", F.expr(_CLOSING))).alias("text"))
@@ -58,17 +65,11 @@ UNION ALL SELECT o_orderkey, 'preamble', NULL, NULL, NULL, NULL, 0, NULL, length
 UNION ALL SELECT o_orderkey, 'closing', NULL, NULL, NULL, NULL, max(piece_end), NULL, max(piece_end) + max(length(closing)) FROM b GROUP BY 1""")
 def bill_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested, disjoint ranges of every bill's whole text: codes that it amends, their sections, what comes before and after."""
-    found = B.ranges(stage(bill_texts(spark, sf_dir), "bill-texts"))
+    found = B.ranges(bill_texts(spark, sf_dir))
     longs = [F.col(c).cast("long").alias(a) for c, a in (("group_no", "group_no"), ("header_no", "header_no"), ("start", "start"), ("after", "after"), ("end", "stop"))]
     return found.select("file_no", "kind", "number", "name", *longs)
 
 
-def ranged_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Bills' texts and their ranges, written: what is cut from them reads the ranges several times."""
-    texts = stage(bill_texts(spark, sf_dir), "bill-texts")
-    return texts, stage(B.ranges(texts), "bill-ranges")
-
-
 _FIRST = "'First, part ' || l_partkey || ' wrapped.'"
 
 
@@ -81,7 +82,9 @@ UNION ALL SELECT o_orderkey, NULL, NULL, 'preamble', NULL, NULL, '[Codes - Order
 UNION ALL SELECT DISTINCT o_orderkey, NULL, NULL, 'closing', NULL, NULL, 'Section 99. Effective Date. In force at once.' || chr(10) || chr(10) || 'APPROVED AS TO FORM: Clerk ' || o_custkey FROM b""")
 def bill_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every bill, after the gate on headers."""
-    texts, found = ranged_texts(spark, sf_dir)
+    texts = bill_texts(spark, sf_dir)
+    # both what is counted and what is given read the ranges; texts are cut as these are found
+    found = stage(B.ranges(texts, raw=True), "bill-ranges")
     return B.gated(stage(B.blocks(texts, found), "bill-blocks"), found).select("file_no", F.col("group_no").cast("long"), F.col("header_no").cast("long"), "kind", "marker", "subsection", "text")
 
 
