@@ -53,8 +53,10 @@ def with_diffs(outcomes: DataFrame, chunks: DataFrame, bills: DataFrame) -> Data
     chunks of it, and the bill is more than a body.
 
     ``outcomes``: file_no, section_id, position, status and, to tell rows at one position apart, arrival; ``chunks``: file_no, section_id; ``bills``: file_no, parse_status.
+    An outcome without a position is never the first; sections without an id are one, bills without a number none.
     """
-    order = F.struct("position", "arrival") if "arrival" in outcomes.columns else F.col("position")
-    first = outcomes.groupBy("file_no", "section_id").agg(F.min_by("status", order).alias("status")).where("status in ('anchored', 'added_section')")
-    shown = first.join(chunks.select("file_no", "section_id").distinct(), ["file_no", "section_id"], "left_semi")
+    order = F.when(F.col("position").isNotNull(), F.struct("position", "arrival")) if "arrival" in outcomes.columns else F.col("position")
+    first = outcomes.where("file_no is not null").groupBy("file_no", "section_id").agg(F.min_by("status", order).alias("status")).where("status in ('anchored', 'added_section')")
+    held = chunks.select(F.col("file_no").alias("_file"), F.col("section_id").alias("_section")).distinct()
+    shown = first.join(held, F.col("file_no").eqNullSafe(F.col("_file")) & F.col("section_id").eqNullSafe(F.col("_section")), "left_semi")
     return shown.join(bills.where("parse_status = 'body_only'").select("file_no"), "file_no", "left_anti").select("section_id", "file_no")
