@@ -16,8 +16,8 @@ def reverse_graph(citations: DataFrame) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in ``order`` (first wins). Rows that ``order`` leaves open come by ``arrival``, if they have it; it is not given back."""
-    w = Window.partitionBy(*keys).orderBy(*order, *(c for c in rows.columns if c == "arrival"))
+    """The first row of each key in ``order`` (first wins, nulls come last). Rows that ``order`` leaves open come by ``arrival``, if they have it; it is not given back."""
+    w = Window.partitionBy(*keys).orderBy(*(F.col(c).asc_nulls_last() for c in order), *(c for c in rows.columns if c == "arrival"))
     return rows.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place", "arrival")
 
 
