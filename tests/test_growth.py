@@ -109,3 +109,29 @@ def test_runs_are_dealt_out_once(spark, sf_dir):
 def test_an_edit_that_changes_nothing_leaves_a_map():
     m = offsets.without("a bb c", re.compile("b+"))
     assert m.then(offsets.without(m.text, re.compile("x"))) is m
+
+
+def test_terms_are_found_in_one_pass(spark):
+    r = random.Random(13)
+    words = ['"a" means', '"a" ', "“B c” means", "”", "“", '"', " shall\nmean", " means", " is defined as", " means", "\x0bmeans", "x", '"x x"', "😀", " are\t defined  as", "\n"]
+    rows = spark.createDataFrame([(k, "".join(r.choices(words, k=r.randint(0, 12)))) for k in range(800)] + [(-1, None), (-2, "")], "key long, text string")
+    made = definitions.defined_terms(rows, id_col="key")
+    plan = plan_of(made)
+    assert "MapInArrow" in plan and "regexp_extract_all" not in plan
+    want = set()
+    for way, p in definitions.PATTERNS.items():
+        hit = rows.select("key", F.explode_outer(definitions.hits(F.col("text"), p, 1)).alias("h")).where("h is not null")
+        for x in hit.select("key", "h.*", F.expr("instr(h.whole, h.found)").alias("i")).collect():
+            at = x["start"] + x["i"] - 1
+            want.add((x["key"], x["found"], at, at + len(x["found"]), way, x["start"] + len(x["whole"])))
+    got = [tuple(x) for x in made.collect()]
+    assert set(got) == want and len(got) == len(want) > 300
+
+
+def test_pairs_decide_how_many_tasks_make_them(spark, monkeypatch):
+    monkeypatch.setattr(definitions, "PAIRS", 1000, raising=False)
+    monkeypatch.setattr(definitions, "EACH", 50, raising=False)
+    rows = spark.range(2000).select(F.lit("one").alias("term"), F.lit("m").alias("module_id"), F.col("id").cast("string").alias("defined_in"))
+    uses = spark.range(30).select(F.col("id").alias("section_key"), F.lit("One").alias("term"))
+    made = definitions.terms_defined(uses, rows)
+    assert made.groupBy(F.spark_partition_id()).count().count() > 12 and made.count() == 60000
