@@ -135,3 +135,27 @@ def test_pairs_decide_how_many_tasks_make_them(spark, monkeypatch):
     uses = spark.range(30).select(F.col("id").alias("section_key"), F.lit("One").alias("term"))
     made = definitions.terms_defined(uses, rows)
     assert made.groupBy(F.spark_partition_id()).count().count() > 12 and made.count() == 60000
+
+
+def test_bodies_are_walked_in_one_chain(spark):
+    rows = [(1, '[{"kind":"text","text":"a"},{"kind":"format","style":"list","children":[{"kind":"text","text":"b"},{"kind":"format","style":"bold","children":[{"kind":"citation","text":"c","ref":"0"}]}]}]'), (2, "[]"), (3, '[{"kind":"text","text":"children: ARRAY"}]'), (4, None)]
+    nodes = segments.walked(spark.createDataFrame(rows, "doc_id long, j string").select("doc_id", F.parse_json("j").alias("body")))
+    assert "Union" not in plan_of(nodes) and plan_of(nodes).count("Relation [") == 1
+    got = sorted(map(tuple, nodes.select("doc_id", "path", "kind", "style", "text", "ref", "depth").collect()))
+    assert got == [
+        (1, [0], "text", None, "a", None, 0), (1, [1], "format", "list", None, None, 0), (1, [1, 0], "text", None, "b", None, 1), (1, [1, 1], "format", "bold", None, None, 1),
+        (1, [1, 1, 0], "citation", None, "c", "0", 2), (3, [0], "text", None, "children: ARRAY", None, 0),
+    ]
+    assert sorted(map(tuple, segments.flattened(nodes).collect())) == [(1, "abc"), (3, "children: ARRAY")]
+
+
+def test_places_are_found_in_one_pass(spark):
+    from corpusloom.operators import grammar
+
+    r = random.Random(17)
+    rows = spark.createDataFrame([(k, "".join(r.choices(["(a)", "(1)", "\n", " ", "\t", "A", "b", "Ab c", "😀", "\x0b", "\xa0"], k=r.randint(0, 12)))) for k in range(600)] + [(-1, None)], "doc_id long, text string")
+    for pattern, group in ((segments.LABEL, 1), ("\n", 0), ("[^\n]+", 0), ("[A-Z][a-z]+ [a-z]+", 0)):
+        made = grammar.places(rows, pattern, group)
+        assert "regexp_extract_all" not in plan_of(made)
+        want = rows.select("doc_id", F.explode_outer(grammar.hits(F.col("text"), pattern, group)).alias("h")).where("h is not null").select("doc_id", "h.*")
+        assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect())), pattern
